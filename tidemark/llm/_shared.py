@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 import zipfile
@@ -30,12 +32,13 @@ def ship_package(spark: SparkSession) -> None:
     if context.applicationId in _SHIPPED:
         return
     root = Path(__file__).resolve().parents[1]
-    with tempfile.TemporaryDirectory() as where:
-        archive = Path(where) / f"{root.name}.zip"
-        with zipfile.ZipFile(archive, "w") as z:
-            for p in sorted(root.rglob("*.py")):
-                z.write(p, p.relative_to(root.parent))
-        context.addPyFile(str(archive))
+    where = tempfile.mkdtemp(prefix="tidemark-ship-")  # the driver serves it for as long as it lives
+    atexit.register(shutil.rmtree, where, ignore_errors=True)
+    archive = Path(where) / f"{root.name}.zip"
+    with zipfile.ZipFile(archive, "w") as z:
+        for p in sorted(root.rglob("*.py")):
+            z.write(p, p.relative_to(root.parent))
+    context.addPyFile(str(archive))
     _SHIPPED.add(context.applicationId)
 
 
