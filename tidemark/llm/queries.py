@@ -23,6 +23,12 @@ def op2_transport_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     return transport_stream.round_trip(table(spark, sf_dir, "documents"))
 
 
+def op4_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tidemark.llm import quality
+
+    return quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op5_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tidemark.llm import html_extract
 
