@@ -23,6 +23,12 @@ def op2_transport_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     return transport_stream.round_trip(table(spark, sf_dir, "documents"))
 
 
+def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tidemark.llm import decontaminate
+
+    return decontaminate.leaked_items(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op4_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tidemark.llm import quality
 
