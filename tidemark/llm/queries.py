@@ -17,6 +17,12 @@ def tokenizer_path(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_signature_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tidemark.llm import signature_join
+
+    return signature_join.similarity_components(table(spark, sf_dir, "documents"))
+
+
 def op2_transport_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tidemark.llm import transport_stream
 
