@@ -47,6 +47,12 @@ def op5_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_extract.extract(table(spark, sf_dir, "pages"))
 
 
+def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tidemark.llm import line_dedup
+
+    return line_dedup.deduplicate(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op7_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tidemark.llm import packing
 
