@@ -50,12 +50,12 @@ def letter_table() -> np.ndarray:
 def grams(letters: np.ndarray, buckets: int) -> list[np.ndarray]:
     """Buckets of the 1-, 2- and 3-grams that end at each place; ``buckets`` stands for none."""
     x = letters.astype(np.uint32)
-    one, two = x.copy(), np.zeros_like(x)
-    two[1:] = x[1:] * np.uint32(0x9E3779B1) + x[:-1] * np.uint32(0x85EBCA6B)
-    three = np.zeros_like(x)
-    three[2:] = two[2:] + x[:-2] * np.uint32(0xC2B2AE35)
+    two = x * np.uint32(0x9E3779B1)
+    two[1:] += x[:-1] * np.uint32(0x85EBCA6B)
+    three = two.copy()
+    three[2:] += x[:-2] * np.uint32(0xC2B2AE35)
     out = []
-    for n, h in enumerate((one * np.uint32(0x27D4EB2F), two, three)):
+    for n, h in enumerate((x * np.uint32(0x27D4EB2F), two, three)):
         h = h ^ h >> np.uint32(15)
         h = h * np.uint32(0x2C1B3C6D) + np.uint32(n * 0x165667B1)
         out.append(((h ^ h >> np.uint32(13)) % np.uint32(buckets)).astype(np.int32))
