@@ -11,28 +11,30 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.llm import decontaminate, line_dedup, packing, quality, signature_join
-from tidemark.llm._shared import stage, table
+from tidemark.llm._shared import fresh, stage, table
 from tidemark.llm.queries import tokenizer_path
 
 
 def quality_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep what the classifier calls good; it learns from the labelled rows of ``documents`` that may be learnt from."""
     model = quality.fit(docs, quality.taught(table(spark, sf_dir, "labels")))
-    return quality.score(docs, model, docs.columns).filter("predicted = 1").select(*docs.columns)
+    names = fresh("score", docs.columns), fresh("predicted", docs.columns)
+    return quality.score(docs, model, docs.columns, names).filter(F.col(names[1]) == 1).select(*docs.columns)
 
 
 def line_deduplication(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Cut runs of lines that stand earlier as well; texts of which nothing is left go."""
-    cut = line_dedup.deduplicate(docs)
-    left = cut.filter((F.col("removed_lines") == 0) | (F.trim(F.col("text"), F.lit(" \n\r\t")) != ""))
-    changed = F.col("removed_lines") > 0
+    removed = fresh("removed_lines", docs.columns)
+    cut = line_dedup.deduplicate(docs, removed)
+    left = cut.filter((F.col(removed) == 0) | (F.trim(F.col("text"), F.lit(" \n\r\t")) != ""))
+    changed = F.col(removed) > 0
     return left.select(*(F.when(changed, F.length("text").cast("long")).otherwise(F.col(c)).alias(c) if c == "n_chars" else F.col(c) for c in docs.columns))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each component stays: the one with the smallest doc_id."""
     found = signature_join.similarity_components(docs).select(F.col("doc_id").alias("_id"), "component_id").filter("_id <> component_id").select("_id").distinct()
-    return docs.join(found, docs["doc_id"] == found["_id"], "left_anti").select(*docs.columns)
+    return docs.join(found, docs["doc_id"] == found["_id"], "left_anti")
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -98,6 +98,14 @@ def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def fresh(name: str, taken: list[str]) -> str:
+    """``name``, with underscores until no column of ``taken`` is called so (case aside)."""
+    used = {c.lower() for c in taken}
+    while name.lower() in used:
+        name += "_"
+    return name
+
+
 def crc_mod(column: str, modulus: int):
     """crc32 of an id written as text, modulo ``modulus``."""
     return F.crc32(F.col(column).cast("string").cast("binary")) % F.lit(modulus)

@@ -28,8 +28,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from tidemark.llm._shared import bounded_batches, shingle_hashes, text_of, word_hashes
+from tidemark.llm._shared import bounded_batches, fresh, shingle_hashes, text_of, word_hashes
 
 K1, B = 1.2, 0.75
 THRESHOLD = 0.5
@@ -41,7 +42,7 @@ OVERLAP = 0.5
 ANSWER_WORDS = 5
 #: Words of a text whose passages are bounded at a time.
 TEXT_WORDS = 1 << 16
-LEAK = "array<struct<item_id: bigint, score: double, question_overlap: double, answer_overlap: double, first_word: bigint>>"
+LEAK = T.ArrayType(T.StructType().add("item_id", "long").add("score", "double").add("question_overlap", "double").add("answer_overlap", "double").add("first_word", "long"))
 
 #: ASCII punctuation parts words; letters of other scripts stay.
 _PLAIN = bytes(32 if not chr(c).isalnum() and c < 128 else c for c in range(256))
@@ -182,35 +183,33 @@ def shards(benchmark: DataFrame, text: str = "text") -> list[list[tuple[int, str
     return out
 
 
-def find_leaks(documents: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD, overlap: float = OVERLAP) -> DataFrame:
-    """``documents`` with a column ``leaks``: the verified items each text holds."""
+def find_leaks(documents: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD, overlap: float = OVERLAP, name: str = "leaks") -> DataFrame:
+    """``documents`` with a column called ``name``: the verified items each text holds."""
     spark = documents.sparkSession
     bounded_batches(spark)
     names = documents.columns
     out = documents
-    if "leaks" in names:
-        raise ValueError("documents already has a column named leaks")
+    if name in names:
+        raise ValueError(f"documents already has a column named {name}")
     done: list[str] = []
     for shard in shards(benchmark):
         index = spark.sparkContext.broadcast(Index(shard))
-        out = _with_leaks(out, names, done, index, threshold, overlap)
-        done.append(f"_leaks_{len(done)}")
+        label = fresh(f"_leaks_{len(done)}", out.columns)
+        out = _with_leaks(out, names.index("text"), label, index, threshold, overlap)
+        done.append(label)
     found = F.concat(*done) if done else F.array().cast(LEAK)
-    return out.select(*names, found.alias("leaks"))
+    return out.select(*names, found.alias(name))
 
 
-def _with_leaks(df: DataFrame, names: list[str], done: list[str], index, threshold: float, overlap: float) -> DataFrame:
-    at = names.index("text")
+def _with_leaks(df: DataFrame, at: int, label: str, index, threshold: float, overlap: float) -> DataFrame:
     kind = pa.list_(pa.struct([("item_id", pa.int64()), ("score", pa.float64()), ("question_overlap", pa.float64()), ("answer_overlap", pa.float64()), ("first_word", pa.int64())]))
-    label = f"_leaks_{len(done)}"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = [index.value.leaks(x, threshold, overlap) for x in text_of(batch.column(at))]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found, kind)], [*batch.schema.names, label])
 
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields)
-    return df.mapInArrow(run, f"{schema}, `{label}` {LEAK}")
+    return df.mapInArrow(run, T.StructType(df.schema.fields + [T.StructField(label, LEAK)]))
 
 
 def leaked_items(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
@@ -221,4 +220,5 @@ def leaked_items(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 def remove_leaked(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The documents that hold no test item; their columns are kept as they are."""
-    return find_leaks(documents, benchmark).filter(F.size("leaks") == 0).drop("leaks")
+    name = fresh("leaks", documents.columns)
+    return find_leaks(documents, benchmark, name=name).filter(F.size(name) == 0).select(*documents.columns)

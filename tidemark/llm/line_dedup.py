@@ -102,19 +102,20 @@ def repeated_runs(lines: DataFrame) -> DataFrame:
     return run.filter(long_enough).select("doc_id", "th", (F.col("pos") - F.col("back")).alias("lo"), (F.col("pos") + F.col("ahead")).alias("hi"))
 
 
-def deduplicate(documents: DataFrame) -> DataFrame:
-    """``documents`` with repeated runs cut out of ``text``, and ``removed_lines``."""
+def deduplicate(documents: DataFrame, removed: str = "removed_lines") -> DataFrame:
+    """``documents`` with repeated runs cut out of ``text``, and a column called ``removed`` with their number of lines."""
     names = documents.columns
-    keyed = documents.withColumn("_th", F.xxhash64("text"))
-    lines = keyed.filter("text IS NOT NULL AND text <> ''").select(F.col("doc_id"), F.col("_th").alias("th"), lines_of("text").alias("lines"))
+    packed = F.struct(*names).alias("_row")  # no other name of the input can clash with those used here
+    keyed = documents.select(F.col("doc_id").alias("_id"), F.col("text").alias("_text"), F.xxhash64("text").alias("_th"), packed)
+    lines = keyed.filter("_text IS NOT NULL AND _text <> ''").select(F.col("_id").alias("doc_id"), F.col("_th").alias("th"), lines_of("_text").alias("lines"))
     bare = F.transform("lines", _bare)
     lines = lines.select("doc_id", "th", F.transform(bare, lambda x: F.xxhash64(x)).alias("h"), F.transform(bare, lambda x: F.length(x) - F.length(F.replace(x, F.lit(" "), F.lit(""))) + 1).alias("w"))
     lines = stage(lines, "lines")
     runs = repeated_runs(lines).distinct()
     # a document's deleted lines, as many as it has at most
     gone = runs.groupBy("doc_id", "th").agg(F.array_distinct(F.flatten(F.collect_list(F.sequence("lo", "hi")))).alias("_gone")).withColumnRenamed("doc_id", "_doc").withColumnRenamed("th", "_run_th")
-    joined = keyed.join(gone, keyed["doc_id"].eqNullSafe(gone["_doc"]) & (keyed["_th"] == gone["_run_th"]), "left").withColumn("_lines", F.when(F.col("_gone").isNotNull(), lines_of("text")))
+    joined = keyed.join(gone, keyed["_id"].eqNullSafe(gone["_doc"]) & (keyed["_th"] == gone["_run_th"]), "left").withColumn("_lines", F.when(F.col("_gone").isNotNull(), lines_of("_row.text")))
     kept = F.array_except(F.sequence(F.lit(0), F.size("_lines") - 1), "_gone")
-    text = F.when(F.col("_gone").isNull(), F.col("text")).otherwise(F.array_join(F.transform(kept, lambda i: F.get("_lines", i)), ""))
-    removed = F.coalesce(F.size("_gone"), F.lit(0)).cast("long")
-    return joined.select(*(text.alias("text") if c == "text" else F.col(c) for c in names), F.when(F.col("_gone").isNull(), F.lit(0)).otherwise(removed).cast("long").alias("removed_lines"))
+    text = F.when(F.col("_gone").isNull(), F.col("_row.text")).otherwise(F.array_join(F.transform(kept, lambda i: F.get("_lines", i)), ""))
+    number = F.when(F.col("_gone").isNull(), F.lit(0)).otherwise(F.size("_gone")).cast("long")
+    return joined.select(*(text.alias("text") if c == "text" else F.col("_row").getField(c).alias(c) for c in names), number.alias(removed))

@@ -30,8 +30,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from tidemark.llm._shared import bounded_batches, crc_mod, stage, text_of, unstage
+from tidemark.llm._shared import bounded_batches, crc_mod, fresh, stage, text_of, unstage
 
 SAMPLE_ROWS = 6000
 BUCKETS = 1 << 14
@@ -235,8 +236,8 @@ def fit(documents: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS) -> Mod
     return Model(context, network)
 
 
-def score(documents: DataFrame, model: Model, keep: list[str] | None = None) -> DataFrame:
-    """Add ``score`` and ``predicted`` to (doc_id, text); ``keep`` names columns to carry along."""
+def score(documents: DataFrame, model: Model, keep: list[str] | None = None, names: tuple[str, str] = ("score", "predicted")) -> DataFrame:
+    """Score and predict (doc_id, text); ``keep`` names columns to carry along, ``names`` the two new ones."""
     spark = documents.sparkSession
     bounded_batches(spark)
     held = spark.sparkContext.broadcast(model)
@@ -247,12 +248,12 @@ def score(documents: DataFrame, model: Model, keep: list[str] | None = None) ->
             if batch.num_rows:
                 x = np.array([pooled(token_buckets(t), m.context) for t in text_of(batch.column(0))])
                 p = m.network.probability(x)
-                yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array(p), pa.array((p >= 0.5).astype(np.int32))], [*batch.schema.names[1:], "score", "predicted"])
+                yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array(p), pa.array((p >= 0.5).astype(np.int32))], [*batch.schema.names[1:], *names])
 
     columns = keep or ["doc_id"]
-    rows = documents.select(F.col("text").cast("string").alias("_scored_text"), *columns)
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[1:])
-    return rows.mapInArrow(run, f"{schema}, score double, predicted int")
+    rows = documents.select(F.col("text").cast("string").alias(fresh("_scored_text", columns)), *columns)
+    new = [T.StructField(names[0], T.DoubleType()), T.StructField(names[1], T.IntegerType())]
+    return rows.mapInArrow(run, T.StructType(rows.schema.fields[1:] + new))
 
 
 def taught(labels: DataFrame) -> DataFrame:
