@@ -49,9 +49,9 @@ class VersionedTable:
         out.write(bytearray(f"{after}\n".encode()))
         out.close()
         context = self.spark._jvm.org.apache.hadoop.fs.FileContext.getFileContext(self._fs.getUri(), self.spark._jsc.hadoopConfiguration())
-        rename = self.spark._jvm.java.lang.Class.forName("org.apache.hadoop.fs.Options$Rename")
+        rename = getattr(self.spark._jvm.org.apache.hadoop.fs, "Options$Rename")
         over = self.spark.sparkContext._gateway.new_array(rename, 1)
-        over[0] = rename.getEnumConstants()[1]
+        over[0] = rename.valueOf("OVERWRITE")
         context.rename(fresh, pointer, over)
         return after
 
