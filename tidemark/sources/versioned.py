@@ -27,7 +27,11 @@ class VersionedTable:
         pointer = self._fs_path(f"{self.path}/_CURRENT")
         if not self._fs.exists(pointer):
             return None
-        return int(self.spark.read.text(f"{self.path}/_CURRENT").first()[0])
+        stream = self._fs.open(pointer)
+        try:
+            return int(stream.readLine())
+        finally:
+            stream.close()
 
     def create(self) -> None:
         """Make an empty first version unless the table exists."""
