@@ -66,8 +66,9 @@ def test_many_shards_find_the_same(spark, docs, monkeypatch):
     rows = [(i, f"{say(30)} {items[i][1]} {say(30)}") for i in range(20)]
     benchmark = spark.createDataFrame(items, "item_id long, text string")
     monkeypatch.setattr(D, "SHARD_ITEMS", 7)
-    assert len(D.shards(benchmark)) == 5
+    assert len(list(D.shards(benchmark))) == 5
     assert sorted((r.doc_id, r.item_id) for r in D.leaked_items(docs(rows), benchmark).collect()) == [(i, i) for i in range(20)]
+    assert [r.doc_id for r in D.remove_leaked(docs([*rows, (77, say(50))]), benchmark).collect()] == [77]
 
 
 def test_empty_tables(spark, docs):

@@ -10,8 +10,9 @@ of a text at once. What comes through is checked: question and answer of the
 item must both be found in the text around the passage, by word trigrams.
 
 The index is broadcast. Items are indexed in shards of at most ``SHARD_ITEMS``
-items and ``SHARD_CHARS`` characters (one item at least), so what a worker holds
-is bounded however many items there are; every text is queried against each.
+items and ``SHARD_CHARS`` characters (one item at least), one after the other, so
+what the driver or a worker holds is bounded however many items there are; every
+text is queried against each shard.
 
 Defined results: items and texts that are null or have no word match nothing;
 items with equal texts are found each for itself; one row per document row and
@@ -22,7 +23,7 @@ item, the best passage; ties in score go to the first passage; rows that repeat
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -30,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidemark.llm._shared import bounded_batches, fresh, shingle_hashes, text_of, word_hashes
+from tidemark.llm._shared import bounded_batches, fresh, shingle_hashes, stage, text_of, word_hashes
 
 K1, B = 1.2, 0.75
 THRESHOLD = 0.5
@@ -169,56 +170,68 @@ def _share(grams: np.ndarray, around: np.ndarray) -> float:
     return float(np.isin(grams, around).mean()) if len(grams) else 1.0
 
 
-def shards(benchmark: DataFrame, text: str = "text") -> list[list[tuple[int, str]]]:
-    """The test items in bounded shards, one at a time on the driver."""
+def shards(benchmark: DataFrame, text: str = "text") -> Iterator[list[tuple[int, str]]]:
+    """The test items in bounded shards; the driver holds one at a time."""
     items = benchmark.filter(F.col(text).isNotNull()).select(F.col("item_id").cast("long"), F.col(text).cast("string"))
-    out: list[list[tuple[int, str]]] = []
-    size = SHARD_CHARS
+    shard: list[tuple[int, str]] = []
+    size = 0
     for item, x in items.orderBy("item_id", text).toLocalIterator():
-        if size + len(x) > SHARD_CHARS or len(out[-1]) >= SHARD_ITEMS:
-            out.append([])
-            size = 0
-        out[-1].append((item, x))
+        if shard and (size + len(x) > SHARD_CHARS or len(shard) >= SHARD_ITEMS):
+            yield shard
+            shard, size = [], 0
+        shard.append((item, x))
         size += len(x)
-    return out
+    if shard:
+        yield shard
 
 
-def find_leaks(documents: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD, overlap: float = OVERLAP, name: str = "leaks") -> DataFrame:
-    """``documents`` with a column called ``name``: the verified items each text holds."""
+def find_leaks(documents: DataFrame, shard: list[tuple[int, str]], name: str, threshold: float = THRESHOLD, overlap: float = OVERLAP) -> DataFrame:
+    """``documents`` with a column called ``name``: the verified items of one shard that each text holds."""
     spark = documents.sparkSession
     bounded_batches(spark)
-    names = documents.columns
-    out = documents
-    if name in names:
+    if name in documents.columns:
         raise ValueError(f"documents already has a column named {name}")
-    done: list[str] = []
-    for shard in shards(benchmark):
-        index = spark.sparkContext.broadcast(Index(shard))
-        label = fresh(f"_leaks_{len(done)}", out.columns)
-        out = _with_leaks(out, names.index("text"), label, index, threshold, overlap)
-        done.append(label)
-    found = F.concat(*done) if done else F.array().cast(LEAK)
-    return out.select(*names, found.alias(name))
-
-
-def _with_leaks(df: DataFrame, at: int, label: str, index, threshold: float, overlap: float) -> DataFrame:
+    index = spark.sparkContext.broadcast(Index(shard))
+    at = documents.columns.index("text")
     kind = pa.list_(pa.struct([("item_id", pa.int64()), ("score", pa.float64()), ("question_overlap", pa.float64()), ("answer_overlap", pa.float64()), ("first_word", pa.int64())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = [index.value.leaks(x, threshold, overlap) for x in text_of(batch.column(at))]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found, kind)], [*batch.schema.names, label])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found, kind)], [*batch.schema.names, name])
+
+    return documents.mapInArrow(run, T.StructType(documents.schema.fields + [T.StructField(name, LEAK)]))
+
 
-    return df.mapInArrow(run, T.StructType(df.schema.fields + [T.StructField(label, LEAK)]))
+def _by_shard(benchmark: DataFrame, step: Callable[[DataFrame | None, list], DataFrame]) -> DataFrame | None:
+    """Apply ``step`` shard after shard; if there are several, each result is written before the next index is made."""
+    out, before = None, None
+    for shard in shards(benchmark):
+        if before is not None:
+            out = stage(step(out, before), "leaks")
+        before = shard
+    return out if before is None else step(out, before)
 
 
 def leaked_items(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
     """One row per document and test item found in it."""
     rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return find_leaks(rows, benchmark).select("doc_id", F.inline("leaks"))
+
+    def step(found: DataFrame | None, shard: list) -> DataFrame:
+        more = find_leaks(rows, shard, "leaks").select("doc_id", F.inline("leaks"))
+        return more if found is None else found.unionByName(more)
+
+    out = _by_shard(benchmark, step)
+    return out if out is not None else rows.limit(0).select("doc_id", F.inline(F.array().cast(LEAK)))
 
 
 def remove_leaked(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The documents that hold no test item; their columns are kept as they are."""
     name = fresh("leaks", documents.columns)
-    return find_leaks(documents, benchmark, name=name).filter(F.size(name) == 0).select(*documents.columns)
+
+    def step(kept: DataFrame | None, shard: list) -> DataFrame:
+        checked = find_leaks(documents if kept is None else kept, shard, name)
+        return checked.filter(F.size(name) == 0).select(*documents.columns)
+
+    out = _by_shard(benchmark, step)
+    return documents if out is None else out
