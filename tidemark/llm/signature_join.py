@@ -287,23 +287,30 @@ def similarity_components(documents: DataFrame, block_sets: int = BLOCK_SETS, bl
     least = tokens.groupBy("shingle").agg(F.min("node").alias("b"), F.max("node").alias("_top")).filter("b <> _top").select("shingle", "b")
     family = stage(components(tokens.join(least, "shingle").select(F.col("node").alias("a"), "b").filter("a <> b").distinct()), "families")
 
-    members = sets.filter("prefix IS NOT NULL").select("node", "n_shingles", "shingles").dropDuplicates(["node"])
-    members = stage(members.join(family, "node").withColumnRenamed("root", "family"), "members")
+    # which block a set goes to is settled on narrow rows; the sets themselves are dealt out once by node, once by block
+    sizes = sets.filter("prefix IS NOT NULL").groupBy("node").agg(F.max("n_shingles").alias("n_shingles"))
+    members = family.join(sizes, "node").select("node", F.col("root").alias("family"), "n_shingles")
     size = members.groupBy("family").agg(F.count("*").alias("members"), F.sum("n_shingles").alias("total"))
     # chunks of half a block, so that two of them make one
     chunks = F.greatest(F.ceil(2 * F.col("members") / F.lit(block_sets)), F.ceil(2 * F.col("total") / F.lit(block_shingles))).cast("int")
     size = size.select("family", F.when((F.col("members") <= block_sets) & (F.col("total") <= block_shingles), 1).otherwise(chunks).alias("chunks"))
-    sized = members.join(size, "family").withColumn("chunk", F.pmod(F.xxhash64("node"), F.col("chunks")).cast("int"))
+    sized = stage(members.join(size, "family").withColumn("chunk", F.pmod(F.xxhash64("node"), F.col("chunks")).cast("int")), "members")
     meets = F.when(F.col("chunks") == 1, F.array(F.lit(0))).when(F.col("chunk") == 0, F.sequence(F.lit(1), F.col("chunks") - 1)).otherwise(F.array("chunk"))
-    first = sized.withColumn("part", F.explode(meets)).select(F.struct("family", "part").alias("_key"), "node", "shingles", F.lit(0).cast("long").alias("label"))
-    links = stage(_join_blocks(first.select(F.xxhash64("_key").alias("block"), "node", "shingles", "label")), "found-links")
+    first = _with_sets(sets, sized).select(F.explode(meets).alias("part"), "family", "node", "shingles").select(F.xxhash64("family", "part").alias("block"), "node", "shingles", F.lit(0).cast("long").alias("label"))
+    links = stage(_join_blocks(first), "found-links")
 
-    if size.filter("chunks > 1").limit(1).count():
-        links = _join_rest(sized.filter("chunks > 1"), links, block_sets, block_shingles)
+    if sized.filter("chunks > 1").limit(1).count():
+        links = _join_rest(sets, sized.filter("chunks > 1"), links, block_sets, block_shingles)
     return _label(sets, links)
 
 
-def _join_rest(sized: DataFrame, links: DataFrame, block_sets: int, block_shingles: int) -> DataFrame:
+def _with_sets(sets: DataFrame, rows: DataFrame) -> DataFrame:
+    """Add to rows (node, ...) the node's shingles; of equal sets one is taken, before the shuffle where they meet."""
+    held = sets.filter("prefix IS NOT NULL").select("node", "shingles").dropDuplicates(["node"])
+    return rows.join(held, "node")
+
+
+def _join_rest(sets: DataFrame, sized: DataFrame, links: DataFrame, block_sets: int, block_shingles: int) -> DataFrame:
     """Let the members of large families outside their family's largest component meet all others."""
     labels = components(links)
     known = stage(sized.join(labels, "node", "left").withColumn("label", F.coalesce("root", "node")).drop("root"), "large-families")
@@ -311,11 +318,11 @@ def _join_rest(sized: DataFrame, links: DataFrame, block_sets: int, block_shingl
     largest = parts.groupBy("family").agg(F.max_by("label", F.struct("n", "label")).alias("largest"))
     rest = known.join(largest, "family").filter("label <> largest").drop("largest")
     rest_size = rest.groupBy("family").agg(F.greatest(F.ceil(2 * F.count("*") / F.lit(block_sets)), F.ceil(2 * F.sum("n_shingles") / F.lit(block_shingles))).cast("int").alias("rest_chunks"))
-    columns = ["family", "i", "j", "node", "shingles", "label"]
+    columns = ["family", "i", "j", "node", "label"]
     some = rest.join(rest_size, "family").withColumn("i", F.pmod(F.xxhash64("node", F.lit(7)), F.col("rest_chunks")).cast("int")).withColumn("j", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))).select(columns)
     every = known.join(rest_size, "family").withColumn("i", F.explode(F.sequence(F.lit(0), F.col("rest_chunks") - 1))).withColumn("j", F.col("chunk")).select(columns)
-    blocks = some.unionByName(every).select(F.xxhash64("family", "i", "j").alias("block"), "node", "shingles", "label")
-    more = stage(_join_blocks(blocks, labelled=True), "more-links")
+    blocks = some.unionByName(every).select(F.xxhash64("family", "i", "j").alias("block"), "node", "label").distinct()
+    more = stage(_join_blocks(_with_sets(sets, blocks).select("block", "node", "shingles", "label"), labelled=True), "more-links")
     return links.unionByName(more)
 
 
