@@ -16,20 +16,24 @@ def components(links: DataFrame) -> DataFrame:
     round. The number of rounds grows with the logarithm of the nodes.
     """
     edges = stage(_oriented(links.select("a", "b")), "links")
-    seen = None
-    while True:
-        large = _large_star(edges)
-        small = stage(_small_star(large), "links")
-        now = small.agg(F.count("*").alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")).alias("h")).first()
+    seen = _mark(edges)
+    while seen[0]:
+        moved = stage(_small_star(_large_star(edges)), "links")
+        now = _mark(moved)
         unstage(edges)
-        edges = small
-        if (now["n"], now["h"]) == seen:
+        edges = moved
+        if now == seen:
             break
-        seen = (now["n"], now["h"])
+        seen = now
     # at the fixed point every edge joins a node to its root
     return edges.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(edges.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())
 
 
+def _mark(edges: DataFrame) -> tuple:
+    """Number of edges and the sum of their hashes: equal marks, equal edges."""
+    return tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
+
+
 def _oriented(edges: DataFrame) -> DataFrame:
     """Each link once, from its larger to its smaller end."""
     return edges.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
