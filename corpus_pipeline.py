@@ -25,7 +25,8 @@ def quality_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 def line_deduplication(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Cut runs of lines that stand earlier as well; texts of which nothing is left go."""
     removed = fresh("removed_lines", docs.columns)
-    cut = line_dedup.deduplicate(docs, removed)
+    # written first: a filter on the new text would be pushed below it and cut every text anew for each use
+    cut = stage(line_dedup.deduplicate(docs, removed), "cut-lines")
     left = cut.filter((F.col(removed) == 0) | (F.trim(F.col("text"), F.lit(" \n\r\t")) != ""))
     changed = F.col(removed) > 0
     return left.select(*(F.when(changed, F.length("text").cast("long")).otherwise(F.col(c)).alias(c) if c == "n_chars" else F.col(c) for c in docs.columns))
