@@ -48,8 +48,8 @@ PART, OF = 4, 5
 COUNTED = 0.3
 #: Bits of the two bitmaps, and the count above which a shingle is common.
 SEEN_BITS, COMMON_BITS, COMMON = 1 << 26, 1 << 22, 64
-#: Members and shingles that one task joins at once.
-BLOCK_SETS, BLOCK_SHINGLES = 4096, 4_000_000
+#: Members and shingles that one task joins at once: memory goes with the shingles, what large families move with one over the members.
+BLOCK_SETS, BLOCK_SHINGLES = 16_384, 4_000_000
 LEAF, FANOUT = 32, 8
 
 _LIMIT = np.uint64(int(COUNTED * (1 << 64)))
@@ -129,6 +129,13 @@ def bitmap_rows(sets: list[np.ndarray]) -> np.ndarray:
     return out
 
 
+def _folded(bitmaps: np.ndarray, words: int) -> np.ndarray:
+    """Bitmaps brought down to so many words: bits that are equal modulo the new width are ORed."""
+    if bitmaps.shape[1] <= words:
+        return bitmaps
+    return np.bitwise_or.reduce(bitmaps.reshape(len(bitmaps), -1, words), axis=1)
+
+
 def join_sets(sets: list[np.ndarray], known: list | None = None) -> list[tuple[int, int]]:
     """Links between sets, as far as they connect what was not connected before.
 
@@ -136,8 +143,8 @@ def join_sets(sets: list[np.ndarray], known: list | None = None) -> list[tuple[i
     """
     if len(sets) < 2:
         return []
-    # near copies often share their least shingle, so they come to lie in the same leaves
-    order = sorted(range(len(sets)), key=lambda i: (int(sets[i][0]), len(sets[i])))
+    # by size, so that size ranges leave out most node pairs; near copies of a size often share their least shingle
+    order = sorted(range(len(sets)), key=lambda i: (len(sets[i]), int(sets[i][0])))
     rows = [sets[i] for i in order]
     union = _Union(len(rows))
     if known is not None:
@@ -167,7 +174,8 @@ def join_sets(sets: list[np.ndarray], known: list | None = None) -> list[tuple[i
             apart &= a[:, None] < b[None, :]
         if not apart.any():
             continue
-        x, y = tree.bitmaps[a], tree.bitmaps[b]
+        width = max(4, 1 << (2 * int(max(sizes[a[-1]], sizes[b[-1]])) - 1).bit_length() - 6)
+        x, y = _folded(tree.bitmaps[a], width), _folded(tree.bitmaps[b], width)
         shared = np.zeros(apart.shape, np.int64)
         for w in range(0, x.shape[1], 64):
             shared += np.bitwise_count(x[:, None, w : w + 64] & y[None, :, w : w + 64]).sum(2, dtype=np.int64)
