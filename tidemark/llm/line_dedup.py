@@ -82,7 +82,8 @@ def _around(values: str, pos: str) -> Column:
 def repeated_runs(lines: DataFrame) -> DataFrame:
     """(doc_id, th, h, w) -> (doc_id, th, lo, hi): line ranges that stand earlier as well."""
     found = fingerprints(lines)
-    often = found.groupBy("gram").agg(F.count("*").alias("n")).filter("n > 1").select("gram")
+    # written, so that the join deals both sides out anew and a very common gram can be split
+    often = stage(found.groupBy("gram").agg(F.count("*").alias("n")).filter("n > 1").select("gram"), "repeated-grams")
     shared = stage(found.join(often, "gram"), "fingerprints")
     first = shared.groupBy("gram").agg(F.min(F.struct("doc_id", "th", "pos")).alias("first"))
     first = first.select("gram", F.col("first.doc_id").alias("f_doc"), F.col("first.th").alias("f_th"), F.col("first.pos").alias("f_pos"))
