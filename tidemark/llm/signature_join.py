@@ -174,7 +174,8 @@ def join_sets(sets: list[np.ndarray], known: list | None = None) -> list[tuple[i
             apart &= a[:, None] < b[None, :]
         if not apart.any():
             continue
-        width = max(4, 1 << (2 * int(max(sizes[a[-1]], sizes[b[-1]])) - 1).bit_length() - 6)
+        bits = (2 * int(max(sizes[a[-1]], sizes[b[-1]])) - 1).bit_length()
+        width = 1 << max(2, bits - 6)
         x, y = _folded(tree.bitmaps[a], width), _folded(tree.bitmaps[b], width)
         shared = np.zeros(apart.shape, np.int64)
         for w in range(0, x.shape[1], 64):
