@@ -80,3 +80,33 @@ def test_edges(spark, docs):
     assert by[None] == [rows[5][1]] and by[4] == ["", ""]  # null sorts first and keeps its copy; equal rows share a result
     assert L.deduplicate(docs([])).count() == 0
     assert L.deduplicate(docs(rows), "gone").columns == [*docs([]).columns, "gone"]
+
+
+def test_passages_whose_lines_stand_singly_earlier_go(spark, docs):
+    rng = random.Random(12)
+    lines = [sentence(rng, 12) for _ in range(5)]
+    alone = [(i, sentence(rng, 15) + "\n" + lines[i % 5] + "\n" + sentence(rng, 15)) for i in range(6)]
+    whole = [(i, sentence(rng, 15) + "\n" + "\n".join(lines) + "\n" + sentence(rng, 15)) for i in (6, 7)]
+    out = run(docs, alone + whole)
+    assert all(out[i].text == text and out[i].gone == 0 for i, text in alone + whole[:1])
+    assert out[7].gone == 5 and not any(x in out[7].text for x in lines)
+
+
+def test_removed_lines_equal_a_plain_search(spark, docs):
+    rng = random.Random(13)
+    pool = [sentence(rng, rng.choice([2, 5, 9, 13, 25])) for _ in range(12)]
+    rows = [(i, "\n".join(rng.choice(pool) for _ in range(rng.randint(1, 14)))) for i in range(60)]
+    seen, want = set(), {}
+    for i, text in rows:
+        lines = text.split("\n")
+        want[i] = set()
+        for lo in range(len(lines)):
+            for hi in range(lo, len(lines)):
+                if sum(len(x.split()) for x in lines[lo : hi + 1]) >= L.RUN_WORDS or hi - lo >= L.REACH:
+                    key = tuple(lines[lo : hi + 1])
+                    want[i] |= set(range(lo, hi + 1)) if key in seen else set()
+                    seen.add(key)
+    out = run(docs, rows)
+    for i, text in rows:
+        assert out[i].gone == len(want[i])
+        assert out[i].text.split() == " ".join(x for k, x in enumerate(text.split("\n")) if k not in want[i]).split()

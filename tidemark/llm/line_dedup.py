@@ -1,19 +1,17 @@
-"""Line deduplication by winnowing (operator 6), in DataFrame and SQL functions only.
+"""Line deduplication by shared runs of lines (operator 6), in DataFrame and SQL functions only.
 
 A text is a sequence of lines; a line ends at a newline or at a full stop before
 a space, so a passage pasted into the middle of a paragraph is made of lines
-too. A gram is a run of lines, as few as make ``GRAM_WORDS`` words. Of every
-window of three neighbouring grams the one with the least hash is a fingerprint,
-so any run that holds three grams shares a fingerprint with its copies wherever
-it stands. Fingerprints are joined with their first occurrence in (doc_id, text
-hash, position) order, never with each other, and each match is extended line by
-line both ways. A match of ``RUN_WORDS`` words, or one that goes on for
-``REACH`` lines, is a repeated run: it is deleted where it stands later and kept
-where it stands first.
+too. A run of lines counts if it has ``RUN_WORDS`` words or ``REACH`` + 1 lines.
+From every line on, and back from every line, the shortest run that counts is
+hashed. Whatever run that counts stands earlier as well, these shortest ones
+inside it cover all its lines and stand earlier too, so comparing each with its
+first occurrence in (doc_id, text hash, position) order finds every repeat,
+whichever documents share it, without ever pairing two later occurrences. A
+repeated run is deleted where it stands later and kept where it stands first.
 
 Every deleted line has an equal line earlier, so the first copy of a passage
-always stays. Long runs are covered by the matches along them, each of which
-looks ``REACH`` lines ahead and back.
+always stays.
 
 Defined results: null and empty texts stay as they are; a text all of whose
 lines are repeated becomes empty; lines are compared without white space at
@@ -29,7 +27,7 @@ from pyspark.sql import functions as F
 
 from tidemark.llm._shared import stage
 
-GRAM_WORDS, RUN_WORDS, REACH = 8, 20, 8
+RUN_WORDS, REACH = 20, 8
 #: Parts lines for splitting; texts that hold it are split by pattern instead.
 _MARK = "\u0001"
 
@@ -46,61 +44,38 @@ def _bare(line: Column) -> Column:
     return F.trim(line, F.lit(" \n\r\t"))
 
 
-def fingerprints(lines: DataFrame) -> DataFrame:
-    """(doc_id, th, h, w) -> (doc_id, th, pos, gram) of the window minima."""
+def least_runs(lines: DataFrame) -> DataFrame:
+    """(doc_id, th, h, w) -> (doc_id, th, lo, hi, run): from each line on, and back from each line, the shortest run that counts."""
     n = F.size("h")
     places = F.when(n > 0, F.sequence(F.lit(0), n - 1)).otherwise(F.array().cast("array<int>"))
+    rows = lines.select("doc_id", "th", "h", "w", F.explode(places).alias("pos"))
 
-    def words(i: Column, k: int) -> Column:
-        return sum((F.get("w", i + j) for j in range(1, k)), F.get("w", i))
+    def length(step: int) -> Column:
+        words = lambda k: sum((F.get("w", F.col("pos") + step * j) for j in range(1, k)), F.get("w", F.col("pos")))
+        out = F.when(words(1) >= RUN_WORDS, 1)
+        for k in range(2, REACH + 1):
+            out = out.when(words(k) >= RUN_WORDS, k)
+        return out.when((F.col("pos") + step * REACH >= 0) & (F.col("pos") + step * REACH < F.size("h")), REACH + 1)
 
-    def hashed(i: Column, k: int) -> Column:
-        return F.xxhash64(*(F.get("h", i + j) for j in range(k)))
-
-    def gram(i: Column) -> Column:
-        out = F.when(words(i, 1) >= GRAM_WORDS, hashed(i, 1))
-        for k in (2, 3):
-            out = out.when(words(i, k) >= GRAM_WORDS, hashed(i, k))
-        return out.when(words(i, 4).isNotNull(), hashed(i, 4))
-
-    grams = lines.select("doc_id", "th", "w", F.transform(places, gram).alias("g"), places.alias("places"))
-    own = lambda i: F.get("g", i)
-    left = lambda i, k: F.coalesce(own(i) <= own(i - k), F.lit(True))
-    right = lambda i, k: F.coalesce(own(i) < own(i + k), F.lit(True))
-
-    def least(i: Column) -> Column:
-        window = (left(i, 1) & left(i, 2)) | (left(i, 1) & right(i, 1)) | (right(i, 1) & right(i, 2))
-        return own(i).isNotNull() & (window | (F.get("w", i) >= RUN_WORDS))
-
-    return grams.select("doc_id", "th", "g", F.explode(F.filter("places", least)).alias("pos")).select("doc_id", "th", "pos", F.get("g", F.col("pos")).alias("gram"))
-
-
-def _around(values: str, pos: str) -> Column:
-    return F.transform(F.sequence(F.lit(-REACH), F.lit(REACH)), lambda d: F.get(values, F.col(pos) + d))
+    ahead = rows.withColumn("k", length(1)).filter("k IS NOT NULL").withColumn("lo", F.col("pos"))
+    # where the run is also the shortest from its first line on, it is among those ahead
+    back = rows.withColumn("k", length(-1)).filter("k IS NOT NULL").withColumn("lo", F.col("pos") - F.col("k") + 1)
+    short = F.aggregate(F.slice("w", F.col("lo") + 1, F.col("k") - 1), F.lit(0), lambda a, x: a + x)
+    parts = (ahead, back.filter((F.col("k") > 1) & (short >= RUN_WORDS)))
+    one, two = (x.select("doc_id", "th", "lo", (F.col("lo") + F.col("k") - 1).alias("hi"), F.xxhash64(F.slice("h", F.col("lo") + 1, F.col("k"))).alias("run")) for x in parts)
+    return one.unionAll(two)
 
 
 def repeated_runs(lines: DataFrame) -> DataFrame:
     """(doc_id, th, h, w) -> (doc_id, th, lo, hi): line ranges that stand earlier as well."""
-    found = fingerprints(lines)
-    # written, so that the join deals both sides out anew and a very common gram can be split
-    often = stage(found.groupBy("gram").agg(F.count("*").alias("n")).filter("n > 1").select("gram"), "repeated-grams")
-    shared = stage(found.join(often, "gram"), "fingerprints")
-    first = shared.groupBy("gram").agg(F.min(F.struct("doc_id", "th", "pos")).alias("first"))
-    first = first.select("gram", F.col("first.doc_id").alias("f_doc"), F.col("first.th").alias("f_th"), F.col("first.pos").alias("f_pos"))
-    source = lines.select(F.col("doc_id").alias("f_doc"), F.col("th").alias("f_th"), F.col("h").alias("f_h")).dropDuplicates(["f_doc", "f_th"])
-    first = first.join(source, first["f_doc"].eqNullSafe(source["f_doc"]) & (first["f_th"] == source["f_th"])).select("gram", first["f_doc"], first["f_th"], "f_pos", _around("f_h", "f_pos").alias("there"))
-    later = shared.join(stage(first, "first-fingerprints"), "gram").filter(~(F.col("doc_id").eqNullSafe(F.col("f_doc")) & (F.col("th") == F.col("f_th")) & (F.col("pos") == F.col("f_pos"))))
-    later = later.select("doc_id", "th", "pos", "there").distinct()
-    target = lines.dropDuplicates(["doc_id", "th"])
-    here = later.join(target, later["doc_id"].eqNullSafe(target["doc_id"]) & (later["th"] == target["th"])).select(later["doc_id"], later["th"], "pos", "there", _around("h", "pos").alias("here"), _around("w", "pos").alias("words"))
-
-    differs = lambda d: ~F.coalesce(F.get("here", d + REACH) == F.get("there", d + REACH), F.lit(False))
-    ahead = F.coalesce(F.array_min(F.filter(F.sequence(F.lit(0), F.lit(REACH)), differs)), F.lit(REACH + 1)) - 1
-    back = F.coalesce(F.array_min(F.filter(F.sequence(F.lit(1), F.lit(REACH)), lambda d: differs(-d))), F.lit(REACH + 1)) - 1
-    run = here.withColumn("ahead", ahead).withColumn("back", back).filter("ahead >= 0")
-    words = F.aggregate(F.slice("words", F.lit(REACH + 1) - F.col("back"), F.col("ahead") + F.col("back") + 1), F.lit(0), lambda a, x: a + F.coalesce(x, F.lit(0)))
-    long_enough = (words >= RUN_WORDS) | (F.col("ahead") == REACH) | (F.col("back") == REACH)
-    return run.filter(long_enough).select("doc_id", "th", (F.col("pos") - F.col("back")).alias("lo"), (F.col("pos") + F.col("ahead")).alias("hi"))
+    found = least_runs(lines)
+    # written, so that the join deals both sides out anew and a very common run can be split
+    often = stage(found.groupBy("run").agg(F.count("*").alias("n")).filter("n > 1").select("run"), "repeated-runs")
+    shared = stage(found.join(often, "run"), "places-of-runs")
+    first = shared.groupBy("run").agg(F.min(F.struct("doc_id", "th", "lo")).alias("first"))
+    first = stage(first.select("run", F.col("first.doc_id").alias("f_doc"), F.col("first.th").alias("f_th"), F.col("first.lo").alias("f_lo")), "first-runs")
+    same = F.col("doc_id").eqNullSafe(F.col("f_doc")) & (F.col("th") == F.col("f_th")) & (F.col("lo") == F.col("f_lo"))
+    return shared.join(first, "run").filter(~same).select("doc_id", "th", "lo", "hi")
 
 
 def deduplicate(documents: DataFrame, removed: str = "removed_lines") -> DataFrame:
