@@ -110,3 +110,23 @@ def test_removed_lines_equal_a_plain_search(spark, docs):
     for i, text in rows:
         assert out[i].gone == len(want[i])
         assert out[i].text.split() == " ".join(x for k, x in enumerate(text.split("\n")) if k not in want[i]).split()
+
+
+def test_questions_exclamations_and_quoted_sentences_are_lines(spark, docs):
+    rng = random.Random(14)
+    rows, shared = [], {}
+    for k, end in enumerate(("?", "!", '."', ".)", "?”", '.")')):
+        shared[k] = " ".join(sentence(rng, 12)[:-1] + end for _ in range(5))
+        rows += [(2 * k + j, f"{sentence(rng, 9)[:-1]} {sentence(rng, 9)} {shared[k]} {sentence(rng, 15)}") for j in (0, 1)]
+    out = run(docs, rows)
+    for k, p in shared.items():
+        assert out[2 * k].gone == 0 and out[2 * k].text == rows[2 * k][1]
+        assert out[2 * k + 1].gone == 5 and p[:40] not in out[2 * k + 1].text and p[-40:] not in out[2 * k + 1].text
+
+
+def test_lines_do_not_depend_on_the_mark(spark, docs):
+    text = 'One. Two? "Three!" (Four.) Five..."") Six.\nSeven\n\n e.g.no end? '
+    rows = [(1, text), (2, text + "\u0001")]
+    got = {r.doc_id: r.lines for r in docs(rows).select("doc_id", L.lines_of("text").alias("lines")).collect()}
+    assert got[1] == ["One. ", "Two? ", '"Three!" ', "(Four.) ", 'Five..."") ', "Six.\n", "Seven\n", "\n", " e.g.no end? "]
+    assert got[2] == [*got[1], "\u0001"]

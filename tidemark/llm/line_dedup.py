@@ -1,8 +1,8 @@
 """Line deduplication by shared runs of lines (operator 6), in DataFrame and SQL functions only.
 
-A text is a sequence of lines; a line ends at a newline or at a full stop before
-a space, so a passage pasted into the middle of a paragraph is made of lines
-too. A run of lines counts if it has ``RUN_WORDS`` words or ``REACH`` + 1 lines.
+A text is a sequence of lines; a line ends at a newline, or before the next word
+after a full stop, question or exclamation mark and up to three closing quotes or
+brackets, so a passage pasted into the middle of a paragraph is made of lines too. A run of lines counts if it has ``RUN_WORDS`` words or ``REACH`` + 1 lines.
 From every line on, and back from every line, the shortest run that counts is
 hashed. Whatever run that counts stands earlier as well, these shortest ones
 inside it cover all its lines and stand earlier too, so comparing each with its
@@ -30,13 +30,14 @@ from tidemark.llm._shared import stage
 RUN_WORDS, REACH = 20, 8
 #: Parts lines for splitting; texts that hold it are split by pattern instead.
 _MARK = "\u0001"
+#: A sentence's last characters; closing quotes and brackets belong to it.
+_STOP = r"[.?!][\"'\u201d\u2019\u00bb)\]]{0,3} "
 
 
 def lines_of(text: str) -> Column:
     """The lines of a text column; joined without a separator they give the text."""
-    marked = F.replace(F.replace(F.col(text), F.lit("\n"), F.lit("\n" + _MARK)), F.lit(". "), F.lit(". " + _MARK))
-    plain = F.split(marked, _MARK)
-    other = F.split(F.col(text), r"(?<=\n)|(?<=\. )")
+    plain = F.split(F.regexp_replace(F.col(text), rf"\n|{_STOP}", "$0" + _MARK), _MARK)
+    other = F.split(F.col(text), rf"(?<=\n)|(?<={_STOP})")
     return F.filter(F.when(F.contains(F.col(text), F.lit(_MARK)), other).otherwise(plain), lambda x: x != "")
 
 
