@@ -49,22 +49,34 @@ def least_runs(lines: DataFrame) -> DataFrame:
     """(doc_id, th, h, w) -> (doc_id, th, lo, hi, run): from each line on, and back from each line, the shortest run that counts."""
     n = F.size("h")
     places = F.when(n > 0, F.sequence(F.lit(0), n - 1)).otherwise(F.array().cast("array<int>"))
-    rows = lines.select("doc_id", "th", "h", "w", F.explode(places).alias("pos"))
 
-    def length(step: int) -> Column:
-        words = lambda k: sum((F.get("w", F.col("pos") + step * j) for j in range(1, k)), F.get("w", F.col("pos")))
-        out = F.when(words(1) >= RUN_WORDS, 1)
+    def words(i: Column, k: int) -> Column:
+        return sum((F.get("w", i + j) for j in range(1, k)), F.get("w", i))
+
+    def length(i: Column, step: int) -> Column:
+        out = F.when(words(i, 1) >= RUN_WORDS, 1)
         for k in range(2, REACH + 1):
-            out = out.when(words(k) >= RUN_WORDS, k)
-        return out.when((F.col("pos") + step * REACH >= 0) & (F.col("pos") + step * REACH < F.size("h")), REACH + 1)
-
-    ahead = rows.withColumn("k", length(1)).filter("k IS NOT NULL").withColumn("lo", F.col("pos"))
-    # where the run is also the shortest from its first line on, it is among those ahead
-    back = rows.withColumn("k", length(-1)).filter("k IS NOT NULL").withColumn("lo", F.col("pos") - F.col("k") + 1)
-    short = F.aggregate(F.slice("w", F.col("lo") + 1, F.col("k") - 1), F.lit(0), lambda a, x: a + x)
-    parts = (ahead, back.filter((F.col("k") > 1) & (short >= RUN_WORDS)))
-    one, two = (x.select("doc_id", "th", "lo", (F.col("lo") + F.col("k") - 1).alias("hi"), F.xxhash64(F.slice("h", F.col("lo") + 1, F.col("k"))).alias("run")) for x in parts)
-    return one.unionAll(two)
+            out = out.when(words(i if step > 0 else i - (k - 1), k) >= RUN_WORDS, k)
+        return out.when((i + step * REACH >= 0) & (i + step * REACH < n), REACH + 1)
+
+    def run(lo: Column, k: Column) -> Column:
+        return F.when(k.isNotNull(), F.struct(lo.alias("lo"), (lo + k - 1).alias("hi"), F.xxhash64(F.slice("h", lo + 1, k)).alias("run")))
+
+    # within arrays: a row for each line with its text's arrays beside it would be copied as often as the text has lines
+    ahead = lines.select("doc_id", "th", "h", "w", F.transform(places, lambda i: length(i, 1)).alias("ahead"), places.alias("places"))
+    both = ahead.withColumn("back", F.transform("places", lambda i: F.when(F.get("w", i) < RUN_WORDS, length(i, -1))))
+
+    def forward(i: Column) -> Column:
+        return run(i, F.get("ahead", i))
+
+    def backward(i: Column) -> Column:
+        k = F.get("back", i)
+        first = i - k + 1
+        # where it is also the shortest from its first line on, it is among those ahead
+        return F.when(F.get("ahead", first) < k, run(first, k))
+
+    runs = F.filter(F.concat(F.transform("places", forward), F.transform("places", backward)), lambda x: x.isNotNull())
+    return both.select("doc_id", "th", F.explode(runs).alias("x")).select("doc_id", "th", "x.lo", "x.hi", "x.run")
 
 
 def repeated_runs(lines: DataFrame) -> DataFrame:
