@@ -3,6 +3,7 @@ from decimal import Decimal
 
 import pytest
 from builders import at, log
+from pyspark.sql import functions as F
 
 from tidemark.functions.schemas import CURRENT_TRIPS
 from tidemark.operators import latest, merge
@@ -112,3 +113,16 @@ def test_metrics_keep_nulls_at_the_last_completion(spark):
 def test_empty_log(spark):
     empty = log(spark).limit(0)
     assert C.build_current(empty, DAY).count() == 0 and M.trip_metrics(empty, DAY).count() == 0
+def test_regressions_of_replays_go_by_ingestion(spark):
+    rows = log(spark, (1, 1, "completed", "09 10:00"), (2, 1, "picked_up", "09 10:10")).withColumn("ingested_at", F.lit(at("09 11:00")))
+    replay = rows.filter("event_id = 2").withColumn("ingested_at", F.lit(at("09 12:00")))
+    for both in (rows.unionByName(replay), replay.unionByName(rows)):
+        assert [(r.event_id, r.ingested_at) for r in latest.regressions_from_previous(both.coalesce(1)).collect()] == [(2, at("09 11:00"))]
+
+
+@pytest.mark.parametrize("name", ["status_regression_running_max_all", "status_regression_lag_all"])
+def test_regression_queries_cover_events_with_replays(spark, name):
+    from tidemark.queries import QUERIES
+
+    found = [r.event_id for r in QUERIES[name](spark, "/root/testdata/sf0.01").select("event_id").collect()]
+    assert any(i % 50 == 0 for i in found) and any(i % 50 for i in found)

@@ -29,9 +29,14 @@ def drop_business_duplicates(log: DataFrame) -> DataFrame:
     return latest_by(log, BUSINESS_KEY, [F.desc_nulls_last("ingested_at"), F.desc_nulls_last("event_id")])
 
 
+def event_order() -> list[Column]:
+    """Event time, event_id; replays of one event go by ingestion time, then by status."""
+    return [F.asc_nulls_last(c) for c in ("event_ts", "event_id", "ingested_at", "status")]
+
+
 def regressions_from_highest(log: DataFrame) -> DataFrame:
     """Events whose precedence lies below the highest one before them in their trip."""
-    before = Window.partitionBy("trip_id").orderBy(F.asc_nulls_last("event_ts"), F.asc_nulls_last("event_id")).rowsBetween(Window.unboundedPreceding, -1)
+    before = Window.partitionBy("trip_id").orderBy(*event_order()).rowsBetween(Window.unboundedPreceding, -1)
     ranked = log.withColumn("status_precedence", status_precedence())
     return ranked.withColumn("highest_before", F.max("status_precedence").over(before)).filter("status_precedence < highest_before")
 
@@ -39,7 +44,7 @@ def regressions_from_highest(log: DataFrame) -> DataFrame:
 def regressions_from_previous(log: DataFrame) -> DataFrame:
     """Events whose lifecycle rank lies below that of the event just before."""
     ranked = log.withColumn("status_rank", mapped("status", LIFECYCLE_RANK))
-    order = Window.partitionBy("trip_id").orderBy(F.asc_nulls_last("event_ts"), F.asc_nulls_last("event_id"))
+    order = Window.partitionBy("trip_id").orderBy(*event_order())
     return ranked.withColumn("previous_rank", F.lag("status_rank", 1).over(order)).filter("status_rank < previous_rank")
 
 

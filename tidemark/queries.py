@@ -294,14 +294,26 @@ def duplicate_members(spark, sf_dir):
 
 @query(f"WITH log AS (SELECT * FROM ({_DUCK_LOG}) WHERE event_id % 50 <> 0), {_BACK} SELECT * FROM back")
 def status_regression_running_max(spark, sf_dir):
+    """Without the events that have a replay, as its SQL; the whole log is status_regression_running_max_all."""
     return latest.regressions_from_highest(event_log(spark, sf_dir).filter("event_id % 50 <> 0"))
 
 
 @query(f"WITH log AS (SELECT * FROM ({_DUCK_LOG}) WHERE event_id % 50 <> 0), ranked AS (SELECT *, CASE status WHEN 'requested' THEN 1 WHEN 'driver_assigned' THEN 2 WHEN 'picked_up' THEN 3 WHEN 'completed' THEN 4 END AS status_rank FROM log) SELECT * FROM (SELECT *, lag(status_rank) OVER (PARTITION BY trip_id ORDER BY event_ts, event_id) AS previous_rank FROM ranked) WHERE status_rank < previous_rank")
 def status_regression_lag(spark, sf_dir):
+    """Without the events that have a replay, as its SQL; the whole log is status_regression_lag_all."""
     return latest.regressions_from_previous(event_log(spark, sf_dir).filter("event_id % 50 <> 0"))
 
 
+@query(f"{_W_LOG}, ranked AS (SELECT *, {_PRECEDENCE} AS status_precedence FROM log) SELECT * FROM (SELECT *, max(status_precedence) OVER (PARTITION BY trip_id ORDER BY event_ts, event_id, ingested_at, status ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS highest_before FROM ranked) WHERE status_precedence < highest_before")
+def status_regression_running_max_all(spark, sf_dir):
+    return latest.regressions_from_highest(event_log(spark, sf_dir))
+
+
+@query(f"{_W_LOG}, ranked AS (SELECT *, CASE status WHEN 'requested' THEN 1 WHEN 'driver_assigned' THEN 2 WHEN 'picked_up' THEN 3 WHEN 'completed' THEN 4 END AS status_rank FROM log) SELECT * FROM (SELECT *, lag(status_rank) OVER (PARTITION BY trip_id ORDER BY event_ts, event_id, ingested_at, status) AS previous_rank FROM ranked) WHERE status_rank < previous_rank")
+def status_regression_lag_all(spark, sf_dir):
+    return latest.regressions_from_previous(event_log(spark, sf_dir))
+
+
 # ---- driver dimension
 
 
