@@ -85,12 +85,67 @@ def test_join_sets_equals_all_pairs():
     assert (union.roots(everything) == expected.roots(everything)).all()
 
 
-def test_prefix_shares_a_shingle_with_every_partner():
+def levels(counts, row_bits=8):
+    """Levels made of (hash, count) pairs, through the rows that travel."""
+    cells = J.Cells(row_bits)
+    hashes, n = (np.array(x, np.uint64) for x in zip(*counts, strict=True))
+    order = np.argsort(hashes)
+    values, n = J._runs(cells.upper(hashes[order]), n[order].astype(np.int64))
+    sizes = J.bitmap_sizes(len(values), cells)
+    bitmaps = [np.zeros(bits // 8, np.uint8) for bits in sizes]
+    for row, payload, at in cells.pack(values):
+        assert (cells.unpack(row, payload) == values[at]).all()
+    for bitmap, bound in zip(bitmaps, J.BOUNDS, strict=True):
+        bit = cells.place(values[n > bound], 8 * len(bitmap))
+        np.bitwise_or.at(bitmap, (bit >> np.uint64(3)).astype(np.int64), np.uint8(1) << (bit & np.uint64(7)).astype(np.uint8))
+    return J.Levels(cells, bitmaps)
+
+
+@pytest.mark.parametrize("row_bits", [8, 17, 20])
+def test_prefix_shares_a_shingle_with_every_partner(row_bits):
     rng = np.random.default_rng(3)
-    seen, common = np.full(J.SEEN_BITS // 64, 2**64 - 1, np.uint64), np.zeros(J.COMMON_BITS // 64, np.uint64)
-    common[:: 3] = 2**64 - 1
-    for _ in range(200):
+    for _ in range(60):
         a = np.unique(rng.integers(0, 1 << 63, 50, dtype=np.uint64) * np.uint64(2))
         b = np.unique(np.concatenate((a[rng.random(len(a)) > 0.1], rng.integers(0, 1 << 63, 3, dtype=np.uint64))))
+        counted = levels([(x, rng.choice([2, 3, 9, 100, 70_000]) if x in a and x in b else rng.choice([1, 1, 5, 2000])) for x in np.union1d(a, b)], row_bits)
         if J.linked(a, b):
-            assert np.intersect1d(J.prefix_of(a, seen, common), J.prefix_of(b, seen, common)).size
+            assert np.intersect1d(J.prefix_of(a, counted), J.prefix_of(b, counted)).size
+
+
+def test_levels_follow_the_counts(spark):
+    texts = ["a b c d e"] * 6 + ["f g h i j", "f g h i j", "k l m n o"]
+    cells = J.Cells(8)
+    batch = [J.pa.RecordBatch.from_arrays([J.pa.array(texts)], ["text"])]
+    out = [r for b in J._repeated_batches(iter(sorted_rows(J._sorted_batches(batch, cells))), cells) for r in b.to_pylist()]
+    found = {int(v): level for r in out for v, level in zip(cells.unpack(r["row"], r["payload"]), r["levels"], strict=True)}
+    assert found == {int(cells.upper(J.shingle_set(x))[0]): level for x, level in (("a b c d e", 2), ("f g h i j", 1))}
+
+
+def sorted_rows(batches):
+    table = J.pa.Table.from_batches(list(batches)).sort_by("row")
+    return table.to_batches()
+
+
+def test_boilerplate_does_not_tie_texts_to_one_family(spark, docs, monkeypatch):
+    """Texts that share a long passage but are unrelated otherwise never meet in one block with those of another group."""
+    rng = random.Random(6)
+    shared = " ".join(f"s{i}" for i in range(40))
+    rows = []
+    for k in range(30):
+        own = [f"o{k}_{i}" for i in range(60)]
+        for c in range(3):
+            words = list(own)
+            words[rng.randrange(60)] = f"x{k}_{c}"
+            rows.append((len(rows), shared + " " + " ".join(words)))
+    sizes = []
+    monkeypatch.setattr(J, "_join_blocks", lambda placed, n, labelled=False, was=J._join_blocks: sizes.append(placed.groupBy("block").count().collect()) or was(placed, n, labelled))
+    found = J.similarity_components(docs(rows)).collect()
+    assert sorted((r.doc_id, r.n_shingles, r.component_id) for r in found) == brute(rows)
+    assert max(r["count"] for r in sizes[0]) <= 3
+
+
+def test_null_ids_and_very_long_texts(spark, docs):
+    long = " ".join(f"v{i}" for i in range(300_000))
+    rows = [(None, "a b c d e f"), (3, "a b c d e f"), (None, "alone in the world it is"), (7, long), (8, long + " end"), (9, "a " * 40)]
+    found = sorted(((r.doc_id, r.n_shingles, r.component_id) for r in J.similarity_components(docs(rows)).collect()), key=str)
+    assert found == sorted([(None, 2, 3), (3, 2, 3), (None, 2, None), (7, 299_996, 7), (8, 299_997, 7), (9, 1, 9)], key=str)

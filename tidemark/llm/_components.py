@@ -43,6 +43,8 @@ def _large_star(edges: DataFrame) -> DataFrame:
     """Join each node's larger neighbours to the smallest of its neighbours and itself."""
     both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
     least = both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("_a"), F.least("a", "m").alias("m"))
+    # written, so that the join deals both sides anew and the neighbours of a hub can be split
+    least = stage(least, "least-neighbours")
     return _oriented(both.filter("b > a").join(least, F.col("a") == F.col("_a")).select(F.col("b").alias("a"), F.col("m").alias("b")))
 
 

@@ -94,6 +94,21 @@ def unstage(df: DataFrame) -> None:
         target.getFileSystem(jsc.hadoopConfiguration()).delete(target, True)
 
 
+#: Bytes of input that a task of a shuffle with a stated number of partitions gets, about.
+TASK_BYTES = 64 << 20
+
+
+def expected_bytes(rows: DataFrame) -> int:
+    """What Spark expects ``rows`` to hold, 0 where it can't tell; meant for scans, not for joins."""
+    expected = int(str(rows._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return expected if expected < 1 << 60 else 0
+
+
+def partitions_for(rows: DataFrame, task_bytes: int = TASK_BYTES) -> int:
+    """Partitions for a shuffle of what comes of ``rows``: as configured, or more where Spark expects many bytes."""
+    return max(shuffle_partitions(rows.sparkSession), min(-(-expected_bytes(rows) // task_bytes), 1 << 17))
+
+
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

@@ -4,19 +4,23 @@ Texts link when the sets of their five-word shingles have a Jaccard similarity
 of 0.8 or more; the result is one row per document with its component. The join
 is exact (up to 64-bit hashes) and goes in four steps.
 
-1. Shingles are counted in a fixed range of hashes, over all documents. Two
-   bitmaps of fixed size tell which of them may occur twice and which are common.
+1. All shingles of all documents are counted. They travel as the sorted
+   upper 48 bits of their hashes, four bytes each, dealt by ranges; what occurs twice or more comes back
+   as bitmaps, one for each of a few bounds on the count, sized by how many there
+   are up to a stated bound (``MOST_BITS``; a fuller bitmap only filters less).
    A set with too many shingles that occur once can't link and is left aside.
-2. All others give a prefix of their shingles in one global order (those seen
-   once, rare, uncounted, common); two linked sets share a prefix shingle. Each
-   joins the smallest set of that shingle, and the components of these joins are
-   families: a link never leaves its family.
+2. All others give a prefix of their shingles, rarest first in one global order;
+   two linked sets share a prefix shingle. Each joins the smallest set of that
+   shingle, and the components of these joins are families: a link never leaves
+   its family. Passages that many texts share are common, so they come last and
+   don't tie unrelated texts to one family.
 3. A family is joined by signature trees: nodes hold the OR of their members'
    bitmaps and their range of sizes, and two trees are walked together, leaving
    out node pairs whose largest possible overlap is too small, or whose members
    are known to be connected. What is left is checked on the sets. Families too
    large for one task are dealt into chunks: each meets the first chunk, then the
-   members outside the largest component meet every chunk.
+   members outside the largest component meet those of all chunks whose size may
+   link, band of sizes by band.
 4. Components of the links, joined back to all documents.
 
 Only links that connect something new are kept, so a group of near copies costs
@@ -25,7 +29,9 @@ a spanning forest, not all its pairs. Equal sets are one node throughout.
 Defined results: a null text, or one without words, has no shingles, links with
 nothing and is its own component; with fewer words than five the whole sequence
 is the one shingle; documents with equal sets are linked; rows that repeat a
-``doc_id`` are treated each for itself; other columns are ignored.
+``doc_id`` are treated each for itself; a null ``doc_id`` stays null, and names a
+component only if no other id is in it; texts of any length are hashed in blocks;
+an empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -39,21 +45,24 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm._components import components
-from tidemark.llm._shared import bounded_batches, shingle_hashes, shuffle_partitions, stage, text_of, word_hashes
+from tidemark.llm._shared import bounded_batches, expected_bytes, partitions_for, shingle_hashes, stage, text_of, unstage, word_hashes
 
 SHINGLE = 5
 #: Similarity as a fraction: links need OF * intersection >= PART * union.
 PART, OF = 4, 5
-#: Shingles whose hash lies below this share of all hashes are counted.
-COUNTED = 0.3
-#: Bits of the two bitmaps, and the count above which a shingle is common.
-SEEN_BITS, COMMON_BITS, COMMON = 1 << 26, 1 << 22, 64
+#: Shingles are ordered by which of these bounds their count exceeds.
+BOUNDS = np.array([1, 4, 16, 64, 256, 1024, 4096, 16384])
+#: Counting goes by the upper bits of a hash: the number of its cell (CELL_BITS or more) and 32 bits within. Cells travel
+#: in 2 ** n rows, n between these bounds, so that a row gets the shingles of about ROW_BYTES of input.
+CELL_BITS, ROW_BITS, ROW_BYTES = 16, (8, 20), 2 << 20
+#: Shingles that a task sorts at once.
+SORTED = 1 << 22
+#: Bits of the first bitmap for each shingle that occurs twice, and the bound on all its bits; every further bitmap has half as many.
+SPACE, LEAST_BITS, MOST_BITS = 6, 1 << 22, 1 << 29
 #: Members and shingles that one task joins at once: memory goes with the shingles, what large families move with one over the members.
 BLOCK_SETS, BLOCK_SHINGLES = 16_384, 4_000_000
 LEAF, FANOUT = 32, 8
 
-_LIMIT = np.uint64(int(COUNTED * (1 << 64)))
-
 
 def shingle_set(text: str | None) -> np.ndarray:
     """Sorted distinct shingle hashes of a text."""
@@ -195,58 +204,198 @@ def join_sets(sets: list[np.ndarray], known: list | None = None) -> list[tuple[i
 # ---- distributed steps
 
 
-def _counted_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+class Cells:
+    """How upper bits of hashes are dealt to cells, and cells to rows."""
+
+    def __init__(self, row_bits: int):
+        self.cell_bits = max(CELL_BITS, row_bits)
+        self.rows, self.row_cells = 1 << row_bits, 1 << (self.cell_bits - row_bits)
+
+    def upper(self, hashes: np.ndarray) -> np.ndarray:
+        return hashes >> np.uint64(32 - self.cell_bits)
+
+    def place(self, values: np.ndarray, bits: int) -> np.ndarray:
+        """The bit of each value in a bitmap of ``bits`` bits: its upper bits, so that a row's bits lie together."""
+        return values >> np.uint64(self.cell_bits + 32 - (bits.bit_length() - 1))
+
+    def pack(self, values: np.ndarray) -> Iterator[tuple[int, bytes, slice]]:
+        """Sorted values -> (row, payload, where its values stand): the sizes of the row's cells, then the lower 32 bits."""
+        low, cell = values.astype("<u4"), values >> np.uint64(32)
+        row = (cell // np.uint64(self.row_cells)).astype(np.int64)
+        begin = np.flatnonzero(np.concatenate(([True], row[1:] != row[:-1])))
+        for a, b in zip(begin.tolist(), np.append(begin[1:], len(row)).tolist(), strict=True):
+            own = (cell[a:b] - np.uint64(int(row[a]) * self.row_cells)).astype(np.int64)
+            yield int(row[a]), np.bincount(own, minlength=self.row_cells).astype("<u4").tobytes() + low[a:b].tobytes(), slice(a, b)
+
+    def unpack(self, row: int, payload: bytes) -> np.ndarray:
+        data = np.frombuffer(payload, "<u4")
+        cells = np.arange(row * self.row_cells, (row + 1) * self.row_cells, dtype=np.uint64) << np.uint64(32)
+        return np.repeat(cells, data[: self.row_cells]) | data[self.row_cells :].astype(np.uint64)
+
+
+def _runs(values: np.ndarray, counts: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct values of a sorted array and how often (or with which sum of counts) each occurs."""
+    at = np.flatnonzero(np.concatenate(([True], values[1:] != values[:-1])))
+    return values[at], np.diff(np.append(at, len(values))) if counts is None else np.add.reduceat(counts, at)
+
+
+COUNTS = "row int, payload binary, more binary"
+
+
+def _sorted_batches(batches: Iterator[pa.RecordBatch], cells: Cells) -> Iterator[pa.RecordBatch]:
+    """Texts -> rows of sorted shingles; ``more`` has the counts where any is over one."""
+    held: list[np.ndarray] = []
+    size = 0
+
+    def flushed() -> Iterator[pa.RecordBatch]:
+        values = np.concatenate(held)
+        values.sort()
+        values, counts = _runs(values)
+        counts = counts.astype("<u4")
+        out, total = [], 0
+        for row, payload, at in cells.pack(values):
+            out.append((row, payload, counts[at].tobytes() if int(counts[at].max()) > 1 else None))
+            total += len(payload)
+            if total >= 1 << 20:
+                yield rows(out)
+                out, total = [], 0
+        if out:
+            yield rows(out)
+
+    def rows(out: list[tuple]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), (pa.int32(), pa.binary(), pa.binary()), strict=True)], ["row", "payload", "more"])
+
     for batch in batches:
-        found = [(s := shingle_set(x))[: np.searchsorted(s, _LIMIT)] for x in text_of(batch.column(0))]
-        if found:
-            flat = np.concatenate(found).view(np.int64)
-            for at in range(0, len(flat), 1 << 20):
-                yield pa.RecordBatch.from_arrays([pa.array(flat[at : at + (1 << 20)])], ["shingle"])
+        for x in text_of(batch.column(0)):
+            found = cells.upper(shingle_set(x))
+            for at in range(0, len(found), SORTED):
+                held.append(found[at : at + SORTED])
+                size += len(held[-1])
+                if size >= SORTED:
+                    yield from flushed()
+                    held, size = [], 0
+    if held:
+        yield from flushed()
+
+
+REPEATED = "row int, payload binary, levels binary, n long"
+
+
+def _repeated_batches(batches: Iterator[pa.RecordBatch], cells: Cells) -> Iterator[pa.RecordBatch]:
+    """Rows sorted by ``row`` -> the shingles that occur twice or more, with the number of bounds each count exceeds."""
+    held: list[tuple[np.ndarray, np.ndarray]] = []
+    size, now = 0, None
+
+    def merged() -> tuple[np.ndarray, np.ndarray]:
+        values, counts = (np.concatenate(c) for c in zip(*held, strict=True))
+        order = np.argsort(values, kind="stable")
+        return _runs(values[order], counts[order])
+
+    def done() -> Iterator[pa.RecordBatch]:
+        values, counts = merged()
+        often = counts > BOUNDS[0]
+        if often.any():
+            level = np.searchsorted(BOUNDS, counts[often], "left").astype(np.uint8)
+            payload = next(cells.pack(values[often]))[1]
+            yield pa.RecordBatch.from_arrays([pa.array([now], pa.int32()), pa.array([payload], pa.binary()), pa.array([level.tobytes()], pa.binary()), pa.array([int(often.sum())], pa.int64())], ["row", "payload", "levels", "n"])
+
+    for batch in batches:
+        for row, payload, more in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            if row != now:
+                if held:
+                    yield from done()
+                held, size, now = [], 0, row
+            values = cells.unpack(row, payload)
+            held.append((values, np.ones(len(values), np.int64) if more is None else np.frombuffer(more, "<u4").astype(np.int64)))
+            size += len(values)
+            if size > SORTED and len(held) > 1:  # what repeats is added up before all is there
+                held = [merged()]
+                size = len(held[0][0]) // 2
+    if held:
+        yield from done()
+
+
+def bitmap_sizes(repeated: int, cells: Cells) -> list[int]:
+    """Bits of each bitmap for so many repeated shingles."""
+    first = min(MOST_BITS, max(LEAST_BITS, 1 << max(0, SPACE * repeated - 1).bit_length()))
+    return [max(first >> k, LEAST_BITS >> 4, 8 * cells.rows) for k in range(len(BOUNDS))]
+
+
+def _bitmaps(repeated: DataFrame, cells: Cells) -> list[np.ndarray]:
+    """For each bound a bitmap of the shingles that occur more often."""
+    sizes = bitmap_sizes(repeated.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0], cells)
+    out = [np.zeros(bits // 8, np.uint8) for bits in sizes]
+
+    def segments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row, payload, levels, _ in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                values, level = cells.unpack(row, payload), np.frombuffer(levels, np.uint8)
+                found = []
+                for k, bits in enumerate(sizes):
+                    own = np.zeros(bits // cells.rows, np.uint8)
+                    own[(cells.place(values[level > k], bits) - np.uint64(row * len(own))).astype(np.int64)] = 1
+                    found.append(np.packbits(own, bitorder="little").tobytes())
+                yield pa.RecordBatch.from_arrays([pa.array([row], pa.int32()), pa.array([found], pa.list_(pa.binary()))], ["row", "bits"])
+
+    for r in repeated.mapInArrow(segments, "row int, bits array<binary>").toLocalIterator():  # all together as large as the bitmaps
+        for whole, raw in zip(out, r["bits"], strict=True):
+            part = len(whole) // cells.rows
+            whole[r["row"] * part : (r["row"] + 1) * part] = np.frombuffer(raw, np.uint8)
+    return out
 
 
-def _bitmap(counts: DataFrame, least: int, bits: int) -> np.ndarray:
-    """Bit set of the shingles counted ``least`` times or more: ``bits`` bits however many there are."""
-    bit = F.col("shingle").bitwiseAND(F.lit(bits - 1))
-    words = counts.filter(F.col("n") >= least).groupBy(F.shiftright(bit, 6).cast("int").alias("word")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), bit.bitwiseAND(F.lit(63)).cast("int"))).alias("mask"))
-    table = words.toArrow()
-    out = np.zeros(bits // 64, np.int64)
-    out[table.column("word").to_numpy()] = table.column("mask").to_numpy()
-    return out.view(np.uint64)
+class Levels:
+    """How many bounds a shingle's count exceeds, as far as the bitmaps tell: 0 is certain."""
 
+    def __init__(self, cells: Cells, bitmaps: list[np.ndarray]):
+        self.cells, self.bitmaps = cells, bitmaps
 
-def _has(bitmap: np.ndarray, bits: int, hashes: np.ndarray) -> np.ndarray:
-    bit = hashes & np.uint64(bits - 1)
-    return bitmap[(bit >> np.uint64(6)).astype(np.int64)] >> (bit & np.uint64(63)) & np.uint64(1) > 0
+    def of(self, found: np.ndarray) -> np.ndarray:
+        values = self.cells.upper(found)
+        out = np.zeros(len(values), np.int8)
+        rest = np.arange(len(values))
+        for bitmap in self.bitmaps:
+            bit = self.cells.place(values[rest], 8 * len(bitmap))
+            rest = rest[bitmap[(bit >> np.uint64(3)).astype(np.int64)] >> (bit & np.uint64(7)).astype(np.uint8) & 1 > 0]
+            if not len(rest):
+                break
+            out[rest] += 1
+        return out
 
 
-def prefix_of(found: np.ndarray, seen: np.ndarray, common: np.ndarray) -> np.ndarray | None:
-    """The part of a set's prefix that may be shared; None if the set can't link."""
+def prefix_of(found: np.ndarray, levels: Levels) -> np.ndarray | None:
+    """The part of a set's prefix that may be shared, rarest first; None if the set can't link."""
     n = len(found)
     spare = n - least_overlap(n)
-    low = int(np.searchsorted(found, _LIMIT))
-    counted = found[:low]
-    twice = _has(seen, SEEN_BITS, counted)
-    once = low - int(twice.sum())
+    level = levels.of(found)
+    again = np.flatnonzero(level)
+    once = n - len(again)
     if once > spare:
         return None
-    counted = counted[twice]
-    often = _has(common, COMMON_BITS, counted)
-    ordered = np.concatenate((counted[~often], found[low:], counted[often]))
-    return ordered[: spare + 1 - once]
+    return found[again[np.argsort(level[again], kind="stable")[: spare + 1 - once]]]
 
 
 SETS = "doc_id long, n_shingles long, node long, prefix array<long>, shingles binary"
 
 
-def _set_batches(batches: Iterator[pa.RecordBatch], seen, common) -> Iterator[pa.RecordBatch]:
+def _set_batches(batches: Iterator[pa.RecordBatch], levels) -> Iterator[pa.RecordBatch]:
+    """A row for each document; what a set links by is given with the first of its copies that a task meets."""
+    given: set[int] = set()
     for batch in batches:
         sizes, nodes, prefixes, kept = [], [], [], []
         for x in text_of(batch.column(1)):
             found = shingle_set(x)
             sizes.append(len(found))
-            prefix = prefix_of(found, seen.value, common.value) if len(found) else None
-            raw = found.tobytes()
-            nodes.append(int.from_bytes(hashlib.blake2b(raw, digest_size=8).digest(), "little", signed=True) if len(found) else None)
+            node = prefix = raw = None
+            if len(found):
+                raw = found.tobytes()
+                node = int.from_bytes(hashlib.blake2b(raw, digest_size=8).digest(), "little", signed=True)
+                if node not in given:
+                    prefix = prefix_of(found, levels.value)
+                    if len(given) >= 1 << 17:
+                        given.clear()
+                    given.add(node)
+            nodes.append(node)
             prefixes.append(None if prefix is None else prefix.view(np.int64))
             kept.append(None if prefix is None else raw)
         kinds = (pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.binary())
@@ -275,9 +424,9 @@ def _join_batches(batches: Iterator[pa.RecordBatch], labelled: bool) -> Iterator
     yield from links()
 
 
-def _join_blocks(rows: DataFrame, labelled: bool = False) -> DataFrame:
+def _join_blocks(rows: DataFrame, partitions: int, labelled: bool = False) -> DataFrame:
     """(block, node, shingles, label) -> links (a, b) found within blocks."""
-    placed = rows.repartition(shuffle_partitions(rows.sparkSession), "block").sortWithinPartitions("block", "node")
+    placed = rows.repartition(partitions, "block").sortWithinPartitions("block", "node")
     return placed.mapInArrow(lambda b: _join_batches(b, labelled), "a long, b long")
 
 
@@ -286,27 +435,34 @@ def similarity_components(documents: DataFrame, block_sets: int = BLOCK_SETS, bl
     spark = documents.sparkSession
     bounded_batches(spark)
     rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    counts = rows.select("text").mapInArrow(_counted_batches, "shingle long").groupBy("shingle").agg(F.count("*").alias("n")).filter("n > 1")
-    repeated = stage(counts, "repeated-shingles")
-    seen = spark.sparkContext.broadcast(_bitmap(repeated, 2, SEEN_BITS))
-    common = spark.sparkContext.broadcast(_bitmap(repeated, COMMON + 1, COMMON_BITS))
-
-    sets = stage(rows.mapInArrow(lambda b: _set_batches(b, seen, common), SETS), "sets")
-    tokens = sets.filter("prefix IS NOT NULL").select("node", F.explode("prefix").alias("shingle")).distinct()
-    least = tokens.groupBy("shingle").agg(F.min("node").alias("b"), F.max("node").alias("_top")).filter("b <> _top").select("shingle", "b")
-    family = stage(components(tokens.join(least, "shingle").select(F.col("node").alias("a"), "b").filter("a <> b").distinct()), "families")
+    cells = Cells(min(max((expected_bytes(rows) // ROW_BYTES).bit_length(), ROW_BITS[0]), ROW_BITS[1]))
+    counted = rows.select("text").mapInArrow(lambda b: _sorted_batches(b, cells), COUNTS).repartition(partitions_for(rows), "row").sortWithinPartitions("row")
+    repeated = stage(counted.mapInArrow(lambda b: _repeated_batches(b, cells), REPEATED), "repeated-shingles")
+    levels = spark.sparkContext.broadcast(Levels(cells, _bitmaps(repeated, cells)))  # of bounded size, see MOST_BITS
+    unstage(repeated)
+
+    sets = stage(rows.mapInArrow(lambda b: _set_batches(b, levels), SETS), "sets")
+    candidates = sets.filter("prefix IS NOT NULL")
+    # written, so that both sides of the join are dealt anew and a very common shingle can be split
+    tokens = stage(candidates.select("node", F.explode("prefix").alias("shingle")).distinct(), "prefixes")
+    least = stage(tokens.groupBy("shingle").agg(F.min("node").alias("b"), F.max("node").alias("_top")).filter("b <> _top").select("shingle", "b"), "least-of-shingles")
+    edges = stage(tokens.join(least, "shingle").select(F.col("node").alias("a"), "b").filter("a <> b").distinct(), "prefix-links")
+    unstage(tokens), unstage(least)
+    family = stage(components(edges), "families")
+    unstage(edges)
 
     # which block a set goes to is settled on narrow rows; the sets themselves are dealt out once by node, once by block
-    sizes = sets.filter("prefix IS NOT NULL").groupBy("node").agg(F.max("n_shingles").alias("n_shingles"))
+    sizes = candidates.groupBy("node").agg(F.max("n_shingles").alias("n_shingles"))
     members = family.join(sizes, "node").select("node", F.col("root").alias("family"), "n_shingles")
     size = members.groupBy("family").agg(F.count("*").alias("members"), F.sum("n_shingles").alias("total"))
     # chunks of half a block, so that two of them make one
     chunks = F.greatest(F.ceil(2 * F.col("members") / F.lit(block_sets)), F.ceil(2 * F.col("total") / F.lit(block_shingles))).cast("int")
     size = size.select("family", F.when((F.col("members") <= block_sets) & (F.col("total") <= block_shingles), 1).otherwise(chunks).alias("chunks"))
     sized = stage(members.join(size, "family").withColumn("chunk", F.pmod(F.xxhash64("node"), F.col("chunks")).cast("int")), "members")
+    unstage(family)
     meets = F.when(F.col("chunks") == 1, F.array(F.lit(0))).when(F.col("chunk") == 0, F.sequence(F.lit(1), F.col("chunks") - 1)).otherwise(F.array("chunk"))
     first = _with_sets(sets, sized).select(F.explode(meets).alias("part"), "family", "node", "shingles").select(F.xxhash64("family", "part").alias("block"), "node", "shingles", F.lit(0).cast("long").alias("label"))
-    links = stage(_join_blocks(first), "found-links")
+    links = stage(_join_blocks(first, partitions_for(sets)), "found-links")
 
     if sized.filter("chunks > 1").limit(1).count():
         links = _join_rest(sets, sized.filter("chunks > 1"), links, block_sets, block_shingles)
@@ -320,18 +476,30 @@ def _with_sets(sets: DataFrame, rows: DataFrame) -> DataFrame:
 
 
 def _join_rest(sets: DataFrame, sized: DataFrame, links: DataFrame, block_sets: int, block_shingles: int) -> DataFrame:
-    """Let the members of large families outside their family's largest component meet all others."""
+    """Let the members of large families outside their family's largest component meet all others they may link with.
+
+    Sizes go in bands, each reaching to OF / PART of its least size, so that links
+    lie within a band or between two neighbours.
+    """
     labels = components(links)
-    known = stage(sized.join(labels, "node", "left").withColumn("label", F.coalesce("root", "node")).drop("root"), "large-families")
+    band = F.floor(F.log("n_shingles") / F.log(F.lit(OF / PART)) + F.lit(1e-9)).cast("int")
+    known = stage(sized.join(labels, "node", "left").withColumn("label", F.coalesce("root", "node")).withColumn("band", band).drop("root"), "large-families")
     parts = known.groupBy("family", "label").agg(F.count("*").alias("n"))
     largest = parts.groupBy("family").agg(F.max_by("label", F.struct("n", "label")).alias("largest"))
     rest = known.join(largest, "family").filter("label <> largest").drop("largest")
-    rest_size = rest.groupBy("family").agg(F.greatest(F.ceil(2 * F.count("*") / F.lit(block_sets)), F.ceil(2 * F.sum("n_shingles") / F.lit(block_shingles))).cast("int").alias("rest_chunks"))
-    columns = ["family", "i", "j", "node", "label"]
-    some = rest.join(rest_size, "family").withColumn("i", F.pmod(F.xxhash64("node", F.lit(7)), F.col("rest_chunks")).cast("int")).withColumn("j", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))).select(columns)
-    every = known.join(rest_size, "family").withColumn("i", F.explode(F.sequence(F.lit(0), F.col("rest_chunks") - 1))).withColumn("j", F.col("chunk")).select(columns)
-    blocks = some.unionByName(every).select(F.xxhash64("family", "i", "j").alias("block"), "node", "label").distinct()
-    more = stage(_join_blocks(_with_sets(sets, blocks).select("block", "node", "shingles", "label"), labelled=True), "more-links")
+
+    def chunks(rows: DataFrame, name: str) -> DataFrame:
+        return rows.groupBy("family", "band").agg(F.greatest(F.ceil(2 * F.count("*") / F.lit(block_sets)), F.ceil(2 * F.sum("n_shingles") / F.lit(block_shingles))).cast("int").alias(name))
+
+    # a member of the rest visits its own band and both neighbours: rows of (family, band it visits, band it has)
+    near = rest.withColumn("own", F.col("band")).withColumn("band", F.explode(F.array(F.col("own") - 1, "own", F.col("own") + 1)))
+    rest_chunks = near.groupBy("family", "band").agg(F.greatest(F.ceil(2 * F.count("*") / F.lit(block_sets)), F.ceil(2 * F.sum("n_shingles") / F.lit(block_shingles))).cast("int").alias("rest_chunks"))
+    size = stage(rest_chunks.join(chunks(known, "band_chunks"), ["family", "band"]), "bands")
+    columns = ["family", "band", "i", "j", "node", "label"]
+    some = near.join(size, ["family", "band"]).withColumn("i", F.pmod(F.xxhash64("node", F.lit(7)), F.col("rest_chunks")).cast("int")).withColumn("j", F.explode(F.sequence(F.lit(0), F.col("band_chunks") - 1))).select(columns)
+    every = known.join(size, ["family", "band"]).withColumn("i", F.explode(F.sequence(F.lit(0), F.col("rest_chunks") - 1))).withColumn("j", F.pmod(F.xxhash64("node", F.lit(11)), F.col("band_chunks")).cast("int")).select(columns)
+    blocks = some.unionByName(every).select(F.xxhash64("family", "band", "i", "j").alias("block"), "node", "label").distinct()
+    more = stage(_join_blocks(_with_sets(sets, blocks).select("block", "node", "shingles", "label"), partitions_for(sets), labelled=True), "more-links")
     return links.unionByName(more)
 
 
