@@ -125,8 +125,42 @@ def test_questions_exclamations_and_quoted_sentences_are_lines(spark, docs):
 
 
 def test_lines_do_not_depend_on_the_mark(spark, docs):
-    text = 'One. Two? "Three!" (Four.) Five..."") Six.\nSeven\n\n e.g.no end? '
-    rows = [(1, text), (2, text + "\u0001")]
+    text = 'One. Two? "Three!" (Four.) Five..."") Six.\nSeven\n\n \r\n e.g.no end? '
+    rows = [(1, text), (2, text + "\u0001"), (3, "\u0001h\u0001p. \u0001")]
     got = {r.doc_id: r.lines for r in docs(rows).select("doc_id", L.lines_of("text").alias("lines")).collect()}
-    assert got[1] == ["One. ", "Two? ", '"Three!" ', "(Four.) ", 'Five..."") ', "Six.\n", "Seven\n", "\n", " e.g.no end? "]
+    assert got[1] == ["One. ", "Two? ", '"Three!" ', "(Four.) ", 'Five..."") ', "Six.\n", "Seven\n\n \r\n", " e.g.no end? "]
     assert got[2] == [*got[1], "\u0001"]
+    assert got[3] == ["\u0001h\u0001p. ", "\u0001"]
+
+
+def test_blank_lines_are_no_repeats(spark, docs):
+    rng = random.Random(15)
+    rows = [(i, sentence(rng, 9) + "\n" * 30 + sentence(rng, 9) + "\n   \n" * 30) for i in range(4)] + [(9, "\n" * 500_000), (10, "\n" * 500_000)]
+    out = run(docs, rows)
+    assert all(out[i].text == text and out[i].gone == 0 for i, text in rows)
+
+
+def test_words_are_counted_between_any_number_of_spaces(spark, docs):
+    rows = [(i, "two" + " " * 40 + "words.") for i in range(3)]
+    assert all(r.gone == 0 for r in run(docs, rows).values())
+
+
+def test_frequent_runs_are_ranked_in_parts(spark, docs, monkeypatch):
+    rng = random.Random(16)
+    p, q = passage(rng, 40), passage(rng, 25)
+    rows = [(i, sentence(rng, 15) + "\n" + (p + "\n" if i != 1 else "") + sentence(rng, 14) + "\n" + q) for i in range(120)] + [(5, p + " another text of this id"), (119, None)]
+    plain = sorted(L.deduplicate(docs(rows), "gone").select("doc_id", "text", "gone").collect(), key=str)
+    monkeypatch.setattr(L, "SAMPLE", 1)
+    monkeypatch.setattr(L, "SALTS", 3)
+    assert sorted(L.deduplicate(docs(rows), "gone").select("doc_id", "text", "gone").collect(), key=str) == plain
+    by = {r.doc_id: r.text for r in plain if r.doc_id != 5}
+    assert p in by[0] and q in by[0] and all(p not in by[i] and q not in by[i] for i in by if i and i != 119)
+
+
+def test_sql_gives_the_same_rows(spark):
+    from oracle import connect, differences
+
+    from tidemark.llm.queries import op6_line_dedup, oracle_sql
+
+    sf = "/root/testdata/sf0.01"
+    assert differences(op6_line_dedup(spark, sf), oracle_sql()["op6_line_dedup"], connect(sf)) == []

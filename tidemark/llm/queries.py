@@ -89,4 +89,6 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    from tidemark.llm import line_dedup
+
+    return {"op6_line_dedup": line_dedup.SQL}
