@@ -47,6 +47,79 @@ def test_pages_of_the_test_data(spark):
         assert out[r.page_id].text == "\n\n".join(b for b in blocks if b) and out[r.page_id].n_chars == len(out[r.page_id].text)
 
 
+LONG = [f"Paragraph {i} of a story that goes on for a good while, with one clause after another until it ends." for i in range(8)]
+MENU = "<ul>" + "".join(f"<li><a href='/{i}'>Item {i}</a></li>" for i in range(12)) + "</ul>"
+LURE = "<div><p><a href='/x'>More</a></p><p><a>Go</a></p><p><span><b>One</b> <i>remark</i> stands <u>between</u> links here.</span></p><p><a>Up</a></p><p><a>Top</a></p></div>"
+
+
+def plain_page(blocks):
+    """A page without an article element or a telling class name."""
+    return f"<html><body><div><div>{MENU}</div></div><div><div>{LURE}</div><div>{blocks}</div></div><div>{MENU}<div>All rights kept.</div></div></body></html>"
+
+
+def test_content_decides_without_names():
+    blocks = "<h2>A heading</h2>" + "".join(f"<p>{x}</p>" for x in LONG[:4]) + "<p>Short.</p><ul><li>one<li>two<li>three<li>four<li>five<li>six<li>seven</ul>" + "".join(f"<p>{x}</p>" for x in LONG[4:]) + "<p>The end.</p>"
+    want = ["A heading", *LONG[:4], "Short.", "one", "two", "three", "four", "five", "six", "seven", *LONG[4:], "The end."]
+    assert H.main_text(plain_page(blocks)) == "\n\n".join(want)
+
+
+def test_smoothing_and_threshold_decide(monkeypatch):
+    # one long line among links, and short paragraphs among long ones
+    lure = "<div><p><a href='/x'>More</a></p><p><a>Go</a></p><p>A lone remark of sixty-two characters that stands between links.</p><p><a>Up</a></p><p><a>Top</a></p></div>"
+    page = f"<body><div>{lure}{MENU}</div><div>" + "".join(f"<p>{x}</p>" for x in LONG) + f"</div><div>{MENU}</div></body>"
+    want = "\n\n".join(LONG)
+    assert H.main_text(page) == want
+    with monkeypatch.context() as m:
+        m.setattr(H, "smooth", lambda values, sigma=0: values)
+        assert H.main_text(page) != want
+    with monkeypatch.context() as m:
+        m.setattr(H, "threshold", lambda values: 0.0)
+        assert H.main_text(page) != want
+
+
+@pytest.mark.parametrize(
+    "page",
+    [
+        "<div class='layout has-sidebar'>{}</div>",
+        "<article class='post no-comments'>{}</article>",
+        "<div class='page with-sidebar'><main class='header-less'>{}</main></div>",
+        "<div class='widget ad'>{}</div><div><p>tiny</p></div>",
+        "<div class='modal'><h1>Title</h1>{}</div>",
+        "<form id=aspnet class='form'>{}<input><label>x</label></form>",
+        "<div id='comments'><main>{}</main></div>",
+        "<svg/>{}",
+        "<p><math/></p>{}",
+    ],
+)
+def test_a_word_never_drops_the_article(page):
+    assert "\n\n".join(LONG) in H.main_text("<body>" + page.format("".join(f"<p>{x}</p>" for x in LONG)) + "</body>")
+
+
+def test_comments_go_even_if_longer_than_the_article():
+    comments = "".join(f"<article class='comment'><p>{x} And so says reader {i}.</p></article>" for i, x in enumerate(LONG))
+    for wrap in ("<article>{}</article>", "<div><h1>Title</h1>{}</div>", "<div>{}</div>"):
+        page = "<body>" + wrap.format(f"<p>{LONG[0]}</p><p>{LONG[1]}</p>") + f"<section id='comments'>{comments}</section></body>"
+        assert H.main_text(page).endswith(f"{LONG[0]}\n\n{LONG[1]}") and "reader" not in H.main_text(page)
+
+
+def test_sibling_articles_all_stay():
+    page = "<body><nav>x</nav>" + "".join(f"<article><h2>Title {i}</h2><p>{x}</p></article>" for i, x in enumerate(LONG)) + "<footer>f</footer></body>"
+    assert H.main_text(page) == "\n\n".join(y for i, x in enumerate(LONG) for y in (f"Title {i}", x))
+
+
+def test_inline_elements_part_no_words():
+    assert H.main_text("<article><p>super<wbr>cali<b>fragi</b>lis<img src=x>tic and<br>more</article>") == "supercalifragilistic and more"
+
+
+def test_deep_and_unclosed_pages_take_linear_time():
+    import time
+
+    began = time.time()
+    for page in ("<div>" * 100_000 + "text", "<b>" * 100_000 + "x" + "</i>" * 100_000, "<i><div>" + "<b>" * 100_000 + "</i>" * 100_000 + "text", "<ul>" + "<div>" * 50_000 + "<dt><li>" * 50_000 + "text", "<p>" * 100_000 + "text", "<td>a" * 50_000):
+        assert H.main_text(page)
+    assert time.time() - began < 30
+
+
 def test_empty_table_and_nulls(spark):
     rows = spark.createDataFrame([(1, None, None, "x"), (None, "u", "<p>a b", "y"), (1, None, None, "x")], "page_id long, url string, html string, text string")
     assert sorted(((r.page_id or 0), r.text, r.n_chars) for r in H.extract(rows).collect()) == [(0, "a b", 3), (1, "", 0), (1, "", 0)]
