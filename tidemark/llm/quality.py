@@ -2,20 +2,26 @@
 
 Every word has a sparse random index vector, fixed by its hash bucket. A pass
 over the training sample adds to each word's context vector the index vectors of
-the words near it. A document is the mean of its words' context vectors beside
+the words near it in the same text. A document is the mean of its words' context vectors beside
 the mean of their index vectors; a two-layer network in numpy turns that into a
 log-odds, and a temperature fitted on rows kept out of the training makes it a
 calibrated probability. Besides words, a text has marks for words in capitals
 and for a word that repeats the one before.
 
 The training sample is bounded: ``SAMPLE_ROWS`` labelled rows, those whose ids
-hash lowest. Vectors and weights have a size fixed by parameters and are
-broadcast. Scoring reads every whole text.
+hash lowest; word vectors, network and temperature are fitted on it. They have a
+size fixed by parameters and are broadcast. Scoring reads every whole text.
 
 Defined results: a null text is the empty text, whose vector is zero, and is
-scored as such; a row without a label teaches nothing; if a document has several
-labels the lowest counts; with no labelled rows, or labels of one kind only, all
-documents get that share of ones (1 without any); other columns are ignored.
+scored as such; texts of any length are pooled whole; a row without a label or
+with a null ``doc_id`` teaches nothing, and one with a null id is never held out;
+rows that repeat a ``doc_id`` all teach with its label and are scored each for
+itself; if a document has several labels the lowest counts; a probability of
+exactly 0.5 predicts 1; ids that hash alike go by the smaller; with no labelled
+rows, or labels of one kind only, all documents get that share of ones (1 without
+any); an empty table gives no rows; other columns are ignored, or carried along
+by ``score``, whatever their names. However rows are dealt to tasks, the fit and
+the scores are the same.
 """
 
 from __future__ import annotations
@@ -83,35 +89,40 @@ def token_buckets(text: str) -> bytes:
 
 @lru_cache(maxsize=1)
 def index_vectors() -> tuple[np.ndarray, np.ndarray]:
-    """Places and signs of the nonzero entries of each bucket's index vector."""
+    """Places and signs of the nonzero entries of each bucket's index vector; one more, without any, stands for a gap."""
     rng = np.random.default_rng(SEED)
     place = np.argsort(rng.random((BUCKETS, DIM)), axis=1)[:, :NONZEROS].astype(np.int64)
-    return place, rng.choice([-1.0, 1.0], (BUCKETS, NONZEROS))
+    sign = rng.choice([-1.0, 1.0], (BUCKETS, NONZEROS))
+    return np.vstack((place, place[:1])), np.vstack((sign, 0 * sign[:1]))
 
 
 @lru_cache(maxsize=1)
 def index_matrix() -> np.ndarray:
     place, sign = index_vectors()
     out = np.zeros((BUCKETS, DIM), np.float32)
-    np.put_along_axis(out, place, sign.astype(np.float32), axis=1)
+    np.put_along_axis(out, place[:BUCKETS], sign[:BUCKETS].astype(np.float32), axis=1)
     return out
 
 
-def add_contexts(total: np.ndarray, tokens: np.ndarray) -> None:
-    """Add to ``total`` (buckets x dimensions, flat) the index vectors of each token's neighbours."""
+_GAP = np.full(NEAR, BUCKETS, np.int64)
+
+
+def add_contexts(total: np.ndarray, texts: list[np.ndarray]) -> None:
+    """Add to ``total`` (buckets and gap x dimensions, flat) the index vectors of each token's neighbours in its own text."""
     place, sign = index_vectors()
-    tokens = tokens.astype(np.int64)
+    tokens = np.concatenate([x for t in texts for x in (t.astype(np.int64), _GAP)]) if texts else _GAP
     for at in range(0, len(tokens), POOLED):
-        part = tokens[max(0, at - NEAR) : at + POOLED]
         for d in range(1, NEAR + 1):
-            left, right = part[:-d], part[d:]
+            # each pair once: where its second token lies in this part
+            right = tokens[max(at, d) : at + POOLED]
+            left = tokens[max(at, d) - d : at + POOLED - d][: len(right)]
             for word, near in ((left, right), (right, left)):
                 flat = word[:, None] * DIM + place[near]
-                total += np.bincount(flat.ravel(), sign[near].ravel(), BUCKETS * DIM)
+                total += np.bincount(flat.ravel(), sign[near].ravel(), (BUCKETS + 1) * DIM)
 
 
 def _context_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    total = np.zeros(BUCKETS * DIM)
+    total = np.zeros((BUCKETS + 1) * DIM)
     pending: list[np.ndarray] = []
     size = 0
     for batch in batches:
@@ -119,11 +130,11 @@ def _context_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBat
             pending.append(np.frombuffer(x, "<u2"))
             size += len(pending[-1])
             if size >= 1 << 18:
-                add_contexts(total, np.concatenate(pending))
+                add_contexts(total, pending)
                 pending, size = [], 0
-    if pending:
-        add_contexts(total, np.concatenate(pending))
-    yield pa.RecordBatch.from_arrays([pa.array([total.astype("<f4").tobytes()])], ["total"])
+    add_contexts(total, pending)
+    # whole numbers, so that the order in which parts are added changes nothing
+    yield pa.RecordBatch.from_arrays([pa.array([total[: BUCKETS * DIM].astype("<f8").tobytes()])], ["total"])
 
 
 def unit_rows(x: np.ndarray) -> np.ndarray:
@@ -214,9 +225,9 @@ def fit(documents: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS) -> Mod
     sample = known.groupBy("_id").agg(F.min("quality").alias("quality")).orderBy(F.xxhash64("_id"), "_id").limit(rows)
     taught = documents.select(F.col("doc_id").cast("long").alias("_id"), F.col("text").cast("string").alias("text")).join(F.broadcast(sample), "_id")  # broadcast: ``rows`` rows at most
     tokens = stage(taught.select("quality", "text").mapInArrow(_token_batches, "quality int, tokens binary"), "quality-sample")
-    context = np.zeros(BUCKETS * DIM, np.float32)
+    context = np.zeros(BUCKETS * DIM)
     for r in tokens.select("tokens").coalesce(8).mapInArrow(_context_batches, "total binary").toLocalIterator():
-        context += np.frombuffer(r["total"], "<f4")
+        context += np.frombuffer(r["total"], "<f8")
     context = unit_rows(context.reshape(BUCKETS, DIM))
     held = spark.sparkContext.broadcast(context)
 
