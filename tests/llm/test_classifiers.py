@@ -26,6 +26,31 @@ def test_labels_of_held_out_rows_teach_nothing(spark):
     assert a == b
 
 
+def test_contexts_stay_within_a_text_and_count_each_pair_once(monkeypatch):
+    import numpy as np
+
+    rng = np.random.default_rng(1)
+    texts = [rng.integers(0, 40, n).astype("<u2") for n in (0, 1, 2, 3, 50, 7, 333)]
+    place, sign = quality.index_vectors()
+    want = np.zeros((quality.BUCKETS, quality.DIM))
+    for t in texts:
+        for i, x in enumerate(t):
+            for j in range(max(0, i - quality.NEAR), min(len(t), i + quality.NEAR + 1)):
+                if j != i:
+                    np.add.at(want[x], place[t[j]], sign[t[j]])
+    for pooled in (5, 64, 1 << 14):
+        monkeypatch.setattr(quality, "POOLED", pooled)
+        total = np.zeros((quality.BUCKETS + 1) * quality.DIM)
+        quality.add_contexts(total, texts)
+        assert (total.reshape(-1, quality.DIM)[:-1] == want).all()
+
+
+def test_quality_is_the_same_however_rows_are_dealt(spark):
+    docs, labels = spark.read.parquet(f"{SF}/documents.parquet").filter("doc_id < 400"), spark.read.parquet(f"{SF}/labels.parquet")
+    a, b = ({r.doc_id: r.score for r in quality.classify(x, labels).collect()} for x in (docs.coalesce(1), docs.repartition(7, "text")))
+    assert a == b
+
+
 def test_quality_edges(spark, docs):
     rows = [(1, None), (2, ""), (3, "w " * 50_000), (4, "a b"), (4, "a b"), (None, "z")]
     labels = spark.createDataFrame([(4, 1, 0), (4, 0, 0), (2, None, 1)], "doc_id long, quality int, toxic int")
@@ -57,6 +82,33 @@ def test_language_matches_plain_bayes():
         letters = np.array([langid.letter_table()[ord(c)] for c in f" {text or ''} "])
         expected = sum(matrix[g].sum(0) for g in langid.grams(letters, langid.BUCKETS))
         assert np.allclose(row, expected, atol=1e-3)
+    for limit in (1, 2, 3, 7):
+        parts, has_too = model.log_odds(texts, limit)
+        assert np.allclose(parts, joint, atol=1e-3) and (has == has_too).all()
+
+
+def test_language_is_learnt_as_by_the_book(spark, monkeypatch):
+    import math
+    from collections import Counter
+
+    import numpy as np
+
+    rows = [(1, "hola que tal", "es"), (2, "hello there you", "en"), (3, "hello again", "en"), (4, "Adiós", "es"), (5, None, "en"), (6, "x", None), (6, "x", None), (7, "hello", "en")]
+    for part in (3, 1 << 19):
+        monkeypatch.setattr(langid.count_batches, "__defaults__", (part,))
+        model = langid.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+        assert model.languages == ["en", "es"]
+        assert np.allclose(model.prior, [math.log(4 / 6), math.log(2 / 6)])
+        for k, lang in enumerate(model.languages):
+            counts = Counter()
+            for _, text, own in rows:
+                if own == lang:
+                    x = [langid.letter_table()[ord(c)] for c in f" {text or ''} "]
+                    for g in langid.grams(np.array(x), langid.BUCKETS):
+                        counts.update(int(v) for v in g if v < langid.BUCKETS)
+            total = sum(counts.values()) + langid.SMOOTHING * langid.BUCKETS
+            want = [math.log((counts[b] + langid.SMOOTHING) / total) for b in range(langid.BUCKETS)]
+            assert np.allclose(model.matrix[:-1, k], want, atol=1e-4)
 
 
 def test_language_edges(spark, docs):

@@ -3,14 +3,18 @@
 Letters are lower-cased, everything else is a gap; n-grams of one to three
 letters, gaps included, are hashed to a fixed number of buckets. Training counts
 buckets per language over a sample of labelled rows whose size per language is
-bounded; the result is one log-probability matrix (buckets x languages), whose
-size depends on parameters and languages only, and which is broadcast. Scoring
-adds up matrix rows for the n-grams of a batch in numpy.
+bounded, and takes the share of a language among all labelled rows as its prior;
+the result is one log-probability matrix (buckets x languages), which is
+broadcast: its size depends on parameters and on the number of languages, which
+may be ``MOST_LANGUAGES`` at most. Scoring adds up matrix rows for the n-grams of
+a batch in numpy; long texts are taken in parts that overlap by two characters,
+so that their n-grams are those of the whole.
 
 Defined results: a null text, or one without a letter, is ``und`` with score 0;
 equal scores go to the language that sorts first; with nothing to learn from
-every text is ``und``; repeated rows count and are scored each for itself; other
-columns are ignored.
+every text is ``und``; a null ``doc_id`` is not held out; repeated rows count and
+are scored each for itself; an empty table gives no rows; other columns are
+ignored; more languages than ``MOST_LANGUAGES`` are an error.
 """
 
 from __future__ import annotations
@@ -30,8 +34,9 @@ BUCKETS = 1 << 15
 #: Training rows of a language, about: rows are kept by the hash of their id.
 ROWS_A_LANGUAGE = 4000
 SMOOTHING = 0.5
-#: Bytes of text that are turned to n-grams at once.
-PART = 1 << 19
+MOST_LANGUAGES = 1000
+#: Characters of text that are turned to n-grams at once, and those that an n-gram reaches back.
+PART, BACK = 1 << 19, 2
 SCORED = "doc_id long, held_out boolean, lang_pred string, score double"
 
 
@@ -68,47 +73,57 @@ def grams(letters: np.ndarray, buckets: int) -> list[np.ndarray]:
     return out
 
 
-def codes_of(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
-    """Letters of all texts, a gap before, between and after them, and where each begins."""
-    sizes = np.array([len(x or "") + 2 for x in texts], np.int64)
-    joined = "".join(f" {x or ''} " for x in texts)
-    raw = np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), np.uint32)
-    return letter_table()[raw], np.cumsum(sizes) - sizes
+def split_texts(texts: list[str | None], limit: int) -> Iterator[tuple[np.ndarray, list[str], np.ndarray]]:
+    """Parts of at most about ``limit`` characters: (row of each part, parts, characters at its begin that only lead in).
 
-
-def split_texts(texts: list[str | None], limit: int) -> Iterator[tuple[np.ndarray, list[str]]]:
-    """Parts of at most about ``limit`` characters: (row of each part, parts); a long text is cut in several."""
-    rows, parts, total = [], [], 0
+    A text has a gap before and after it; a long one is cut in several parts, each but the first led in by the end of the one before.
+    """
+    rows, parts, leads, total = [], [], [], 0
     for i, x in enumerate(texts):
-        x = x or ""
-        for at in range(0, max(len(x), 1), limit):
-            part = x[at : at + limit]
+        x = f" {x or ''} "
+        for at in range(0, len(x), limit):
+            lead = min(at, BACK)
+            part = x[at - lead : at + limit]
             if total + len(part) > limit and parts:
-                yield np.array(rows), parts
-                rows, parts, total = [], [], 0
+                yield np.array(rows), parts, np.array(leads)
+                rows, parts, leads, total = [], [], [], 0
             rows.append(i)
             parts.append(part)
+            leads.append(lead)
             total += len(part)
     if parts:
-        yield np.array(rows), parts
+        yield np.array(rows), parts, np.array(leads)
+
 
+def part_grams(parts: list[str], leads: np.ndarray, buckets: int) -> tuple[np.ndarray, list[np.ndarray], np.ndarray]:
+    """Letters of all parts, their n-grams (none where a part only leads in), and where each part begins."""
+    raw = np.frombuffer("".join(parts).encode("utf-32-le", "surrogatepass"), np.uint32)
+    letters = letter_table()[raw]
+    sizes = np.array([len(x) for x in parts], np.int64)
+    begin = np.cumsum(sizes) - sizes
+    ids = grams(letters, buckets)
+    for k in range(BACK):
+        at = begin[leads > k] + k
+        for g in ids:
+            g[at] = buckets
+    return letters, ids, begin
 
-def count_batches(batches: Iterator[pa.RecordBatch], languages: list[str], buckets: int) -> Iterator[pa.RecordBatch]:
-    """lang, text -> one row per language met: its bucket counts."""
+
+def count_batches(batches: Iterator[pa.RecordBatch], languages: list[str], buckets: int, limit: int = PART) -> Iterator[pa.RecordBatch]:
+    """lang, text -> for each language met, the buckets with a count."""
     place = {x: i for i, x in enumerate(languages)}
     counts: dict[int, np.ndarray] = {}
     for batch in batches:
         langs, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-        for rows, parts in split_texts(texts, PART):
-            letters, begin = codes_of(parts)
-            ends = np.append(begin[1:], len(letters))
-            ids = grams(letters, buckets)
-            for r, a, b in zip(rows, begin, ends, strict=True):
+        for rows, parts, leads in split_texts(texts, limit):
+            letters, ids, begin = part_grams(parts, leads, buckets)
+            for r, a, b in zip(rows, begin, np.append(begin[1:], len(letters)), strict=True):
                 own = counts.setdefault(place[langs[r]], np.zeros(buckets + 1, np.int64))
                 for g in ids:
                     own += np.bincount(g[a:b], minlength=buckets + 1)
     for k, own in counts.items():
-        yield pa.RecordBatch.from_arrays([pa.array([languages[k]]), pa.array([own[:-1].astype("<i8").tobytes()])], ["lang", "counts"])
+        used = np.flatnonzero(own[:-1])
+        yield pa.RecordBatch.from_arrays([pa.array([languages[k]] * len(used), pa.string()), pa.array(used.astype(np.int32)), pa.array(own[used])], ["lang", "bucket", "n"])
 
 
 class Model:
@@ -117,16 +132,15 @@ class Model:
     def __init__(self, languages: list[str], matrix: np.ndarray, prior: np.ndarray):
         self.languages, self.matrix, self.prior = languages, matrix, prior
 
-    def log_odds(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+    def log_odds(self, texts: list[str | None], limit: int = PART) -> tuple[np.ndarray, np.ndarray]:
         """Per text the log joint of each language, and whether it has a letter."""
         out = np.zeros((len(texts), len(self.languages)))
         has = np.zeros(len(texts), bool)
         buckets = len(self.matrix) - 1
-        for rows, parts in split_texts(texts, PART):
-            letters, begin = codes_of(parts)
+        for rows, parts, leads in split_texts(texts, limit):
+            letters, ids, begin = part_grams(parts, leads, buckets)
             found = np.add.reduceat(letters > 0, begin, dtype=np.int64) > 0
             np.logical_or.at(has, rows, found)
-            ids = grams(letters, buckets)
             for k in range(len(self.languages)):
                 column = np.ascontiguousarray(self.matrix[:, k])
                 total = column[ids[0]]
@@ -141,8 +155,10 @@ def fit(labelled: DataFrame, rows_a_language: int = ROWS_A_LANGUAGE, buckets: in
     spark = labelled.sparkSession
     bounded_batches(spark)
     rows = labelled.filter(F.col("lang").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("lang").cast("string").alias("lang"), "text")
-    sizes = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}
+    sizes = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).limit(MOST_LANGUAGES + 1).collect()}
     languages = sorted(sizes)
+    if len(languages) > MOST_LANGUAGES:
+        raise ValueError(f"more than {MOST_LANGUAGES} languages")
     if not languages:
         return Model([], np.zeros((buckets + 1, 0)), np.zeros(0))
     wide = 1 << 20
@@ -150,12 +166,13 @@ def fit(labelled: DataFrame, rows_a_language: int = ROWS_A_LANGUAGE, buckets: in
     for x in languages:
         limit = F.when(F.col("lang") == x, F.lit(min(wide, -(-wide * rows_a_language // sizes[x])))).otherwise(limit)
     sample = rows.filter(F.pmod(F.xxhash64("doc_id"), F.lit(wide)) < limit).select("lang", "text")
-    parts = sample.coalesce(16).mapInArrow(lambda b: count_batches(b, languages, buckets), "lang string, counts binary")
+    parts = sample.mapInArrow(lambda b: count_batches(b, languages, buckets), "lang string, bucket int, n long")
+    total = parts.groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toArrow()  # a row for each language and bucket at most
     counts = np.full((buckets, len(languages)), SMOOTHING)
-    for r in parts.toLocalIterator():  # at most 16 rows a language
-        counts[:, languages.index(r["lang"])] += np.frombuffer(r["counts"], "<i8")
+    place = {x: i for i, x in enumerate(languages)}
+    counts[total.column("bucket").to_numpy(), [place[x] for x in total.column("lang").to_pylist()]] += total.column("n").to_numpy()
     matrix = np.log(counts / counts.sum(0))
-    prior = np.zeros(len(languages))
+    prior = np.log(np.array([sizes[x] for x in languages], float) / sum(sizes.values()))
     return Model(languages, np.vstack([matrix, np.zeros((1, len(languages)))]).astype(np.float32), prior)
 
 
