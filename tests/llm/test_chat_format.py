@@ -40,6 +40,22 @@ def made():
     return rows
 
 
+def counted(role, text):
+    from tidemark.llm._tokens import tokenizer
+
+    return sum(len(tokenizer(PATH).library.encode(x, add_special_tokens=False).ids) for x in (C._opening(role), C.escape(text), C._CLOSING))
+
+
+def test_history_gives_way_before_the_budget_does():
+    cutter = C._Windows(100, 2, 0.5)
+    cutter.start(1)
+    for role, tokens in [("system", 30), ("user", 20), ("assistant", 25), ("user", 60), ("assistant", 95), ("user", 140), ("assistant", 10)]:
+        cutter.add(role, C.format_turn(role, "x"), tokens)
+    cutter.finish()
+    #          window, repeated, new, tokens: the history goes before the system turn, which goes where it doesn't fit either
+    assert [r[1:5] for r in cutter.rows] == [(0, 0, 3, 75), (1, 1, 1, 90), (2, 0, 1, 95), (3, 0, 1, 140), (4, 1, 1, 40)]
+
+
 def test_windows(spark):
     rows = made()
     windows = C.format_windows(conversations(spark, rows), PATH, budget=300).collect()
@@ -54,9 +70,10 @@ def test_windows(spark):
         for w in own:
             parsed = C.parse_turns(w.text)
             assert len(parsed) == w.context_turns + w.new_turns and w.new_turns >= 1
-            assert w.tokens <= 300 or w.new_turns == 1
-            if w.window and said[0][0] == "system":
+            assert w.tokens <= 300 or w.new_turns == 1 and w.context_turns == 0
+            if w.window and said[0][0] == "system" and w.context_turns:
                 assert parsed[0] == said[0]
+            assert w.tokens == sum(counted(r, x) for r, x in parsed)
             new += parsed[w.context_turns :]
             loss += [C.unescape(w.text[a:b]) for a, b in zip(w.loss_spans[::2], w.loss_spans[1::2], strict=True)]
         assert new == said

@@ -5,16 +5,20 @@ with a backslash before every ``\\`` and ``<`` inside role and text, so no text
 can pose as a marker and the template can be undone. A conversation longer than
 the token budget is cut between turns: prefix sums of the turns' token counts
 give the longest span that fits beside what a window repeats, namely the system
-turn and the last few turns before it. Loss spans cover the texts of assistant
+turn and the last few turns before it. A turn's tokens are those of its opening
+with the role, of its escaped text and of its closing, each by itself. Loss spans cover the texts of assistant
 turns that are new in their window; what is repeated is context and masked.
 
 Conversations are handled as a stream of rows sorted by turn: memory holds the
 turns of one window at most, however long a conversation or partition is.
 
 Defined results: a null text or role is the empty string; rows that share a turn
-number follow each other by role and text, repeated rows stay; a turn that
-exceeds the budget by itself gets a window of its own, whole; a null ``conv_id``
-is one conversation; other columns are ignored; an empty table gives no rows.
+number follow each other by role and text, repeated rows stay; where the next turn
+doesn't fit beside what is repeated, the oldest repeated turn goes first and the
+system turn last, so a window exceeds the budget only if it is a single turn that
+does by itself: such a turn stays whole, however long; a null ``turn`` comes first;
+a null ``conv_id`` is one conversation; other columns are ignored; an empty table
+gives no rows.
 """
 
 from __future__ import annotations
@@ -28,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm._shared import bounded_batches, shuffle_partitions, stage, text_of
+from tidemark.llm._shared import bounded_batches, partitions_for, stage, text_of
 
 BUDGET = 2048
 HISTORY_TURNS = 2
@@ -57,8 +61,15 @@ def _role_in(role: str) -> str:
     return _ESCAPED.sub(lambda m: "\n" if m[1] == "n" else m[1], role)
 
 
+_CLOSING = "\n</turn>\n"
+
+
+def _opening(role: str) -> str:
+    return f"<turn>{_role_out(role)}\n"
+
+
 def format_turn(role: str, text: str) -> str:
-    return f"<turn>{_role_out(role)}\n{escape(text)}\n</turn>\n"
+    return _opening(role) + escape(text) + _CLOSING
 
 
 def parse_turns(text: str) -> list[tuple[str, str]]:
@@ -117,6 +128,8 @@ class _Windows:
         """Write the longest turn-aligned span that fits, one turn at least."""
         sums = np.cumsum([t[2] for t in self.pending])
         context = self._context()
+        while context and sum(t[2] for t in context) + self.pending[0][2] > self.budget:
+            del context[1 if len(context) > 1 and context[0] is self.system else 0]
         room = self.budget - sum(t[2] for t in context)
         n = max(1, int(np.searchsorted(sums, room, "right")))
         new, self.pending = self.pending[:n], self.pending[n:]
@@ -124,7 +137,7 @@ class _Windows:
         text, spans, at = [], [], 0
         for k, (role, formatted, _) in enumerate(context + new):
             if k >= len(context) and role == "assistant":
-                spans += [at + len("<turn>assistant\n"), at + len(formatted) - len("\n</turn>\n")]
+                spans += [at + len(_opening(role)), at + len(formatted) - len(_CLOSING)]
             text.append(formatted)
             at += len(formatted)
         self.rows.append((self.conv, self.window, len(context), len(new), sum(t[2] for t in context + new), "".join(text), spans))
@@ -144,10 +157,12 @@ def _cost_batches(batches: Iterator[pa.RecordBatch], path: str) -> Iterator[pa.R
     from tidemark.llm._tokens import tokenizer
 
     encoder = tokenizer(path)
+    closing = len(encoder.ids(_CLOSING)) // 4
     for batch in batches:
         roles, texts = text_of(batch.column(2)), text_of(batch.column(3))
+        opening = {r: len(encoder.ids(_opening(r))) // 4 for r in set(roles)}
         formatted = [format_turn(r, t) for r, t in zip(roles, texts, strict=True)]
-        tokens = [len(encoder.ids(x)) // 4 for x in formatted]
+        tokens = [opening[r] + len(encoder.ids(escape(t))) // 4 + closing for r, t in zip(roles, texts, strict=True)]
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(roles, pa.string()), pa.array(formatted, pa.string()), pa.array(tokens, pa.int64())], ["conv_id", "turn", "role", "formatted", "tokens"])
 
 
@@ -177,7 +192,7 @@ def format_windows(conversations: DataFrame, tokenizer_path: str, budget: int =
     bounded_batches(spark)
     rows = conversations.select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), F.col("role").cast("string").alias("role"), F.col("text").cast("string").alias("text"))
     costed = rows.mapInArrow(lambda b: _cost_batches(b, tokenizer_path), "conv_id long, turn long, role string, formatted string, tokens long")
-    placed = costed.repartition(shuffle_partitions(spark), "conv_id").sortWithinPartitions("conv_id", "turn", "role", "formatted")
+    placed = costed.repartition(partitions_for(rows), "conv_id").sortWithinPartitions("conv_id", "turn", "role", "formatted")
     return placed.mapInArrow(lambda b: _window_batches(b, budget, history_turns, history_share), WINDOWS)
 
 
@@ -218,7 +233,7 @@ def _digest_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
 def digest(windows: DataFrame) -> DataFrame:
     """Undo the template of every window and describe each conversation."""
     bounded_batches(windows.sparkSession)
-    placed = windows.repartition(shuffle_partitions(windows.sparkSession), "conv_id").sortWithinPartitions("conv_id", "window")
+    placed = windows.repartition(partitions_for(windows), "conv_id").sortWithinPartitions("conv_id", "window")
     return placed.mapInArrow(_digest_batches, DIGEST)
 
 
