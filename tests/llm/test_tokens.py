@@ -27,7 +27,7 @@ def plain(path):
 def test_cache_changes_no_id(path, monkeypatch):
     from tidemark.llm import _tokens
 
-    monkeypatch.setattr(_tokens, "CACHE_PARTS", 500)
+    monkeypatch.setattr(_tokens, "CACHE_BYTES", 100_000)
     monkeypatch.setattr(_tokens, "PART_CHARS", 64)
     rng = random.Random(5)
     letters = "aB é.,'\n\t  sS1²Σ!-́\xa0\x85"
@@ -113,3 +113,55 @@ def test_token_store(spark, docs):
     empty = staged_path(spark, "test-empty")
     token_store.write(docs([]), empty, WORD)
     assert token_store.digest(token_store.read(spark, empty)).count() == 0
+
+
+def test_cache_is_bounded_by_bytes(monkeypatch):
+    from tidemark.llm import _tokens
+
+    monkeypatch.setattr(_tokens, "CACHE_BYTES", 50_000)
+    ours = CachedTokenizer(BYTE)
+    rng = random.Random(8)
+    for _ in range(300):
+        ours.ids(" ".join("".join(rng.choice("abcdefgh") for _ in range(rng.choice([3, 9, 20, 5000]))) for _ in range(5)))
+        for parts in (ours.first, ours.later):
+            assert sum(len(k) + len(v) for k, v in parts.items()) <= 50_000 and all(len(k) <= _tokens.CACHE_CHARS for k in parts)
+
+
+def test_store_layout(spark, docs, tmp_path, monkeypatch):
+    """Footers: dictionary or delta pages, row groups and pages of stated sizes, page indexes; a reader takes what it names."""
+    import pyarrow.parquet as pq
+
+    monkeypatch.setitem(token_store.LAYOUT, "parquet.block.size", str(1 << 18))
+    monkeypatch.setitem(token_store.LAYOUT, "parquet.page.size", str(16 << 10))
+    rng = random.Random(9)
+    rows = [(i, " ".join(rng.choice(["alpha", "beta", "gamma", "delta", str(rng.random())]) for _ in range(200))) for i in range(3000)]
+    path = str(tmp_path / "store")
+    token_store.write(docs(rows), path, WORD, partitions=2)
+    groups = 0
+    for file in (tmp_path / "store").glob("*.parquet"):
+        footer = pq.ParquetFile(file).metadata
+        groups += footer.num_row_groups
+        for g in range(footer.num_row_groups):
+            group = footer.row_group(g)
+            assert group.num_rows < 3000 / 2
+            for c in range(group.num_columns):
+                column = group.column(c)
+                assert column.has_offset_index and column.has_column_index and column.compression == "ZSTD"
+                if column.path_in_schema == "ids.list.element":
+                    assert {"RLE_DICTIONARY", "DELTA_BINARY_PACKED"} & set(column.encodings)
+                if column.path_in_schema == "before":  # rising, without repeats: a dictionary doesn't pay
+                    assert "DELTA_BINARY_PACKED" in column.encodings
+    assert groups > 2
+    plan = token_store.read(spark, path, ["doc_id", "n_tokens", "start"])._jdf.queryExecution().toString()
+    assert "ids:array" not in plan.split("== Physical Plan ==")[1]
+    some = token_store.read(spark, path).filter("doc_id = 77")
+    assert "PushedFilters: [IsNotNull(part), IsNotNull(doc_id), EqualTo(doc_id,77)]" in some._jdf.queryExecution().toString() or "EqualTo(doc_id,77)" in some._jdf.queryExecution().toString()
+
+
+def test_reading_shuffles_no_ids(spark, docs, tmp_path):
+    path = str(tmp_path / "store")
+    token_store.write(docs([(i, "a b c") for i in range(50)]), path, WORD, partitions=4)
+    plan = token_store.digest(token_store.read(spark, path))._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
+    with pytest.raises(ValueError):
+        token_store.write(docs([]), path, WORD, partitions=token_store.MOST_FILES + 1)

@@ -16,8 +16,8 @@ from tokenizers import Tokenizer, pre_tokenizers
 
 END_ID = 2
 
-#: Parts kept per worker and kind of place; at about 200 bytes each the cache stays near 120 MB.
-CACHE_PARTS = 600_000
+#: Bytes of parts and ids kept per worker and kind of place, each part with what a dictionary adds, and the longest part kept.
+CACHE_BYTES, CACHE_ENTRY, CACHE_CHARS = 96 << 20, 200, 32
 #: Characters the library gets at a time.
 PART_CHARS = 32_768
 
@@ -37,30 +37,31 @@ class _Parts(dict):
 
     def __init__(self, owner: "CachedTokenizer", lead: str):
         self.owner, self.lead, self.prefix = owner, lead, owner.space if lead else ""
+        self.bytes = 0
+
+    def _kept(self, part: str, ids: bytes) -> bytes:
+        if len(part) <= CACHE_CHARS:
+            if self.bytes > CACHE_BYTES:
+                self.clear()
+                self.bytes = 0
+            self.bytes += CACHE_ENTRY + 4 * len(part) + len(ids)
+            self[part] = ids
+        return ids
 
     def __missing__(self, part: str) -> bytes:
         if part.isalpha():
-            if len(self) >= CACHE_PARTS:
-                self.clear()
-            out = self[part] = self.owner.word_ids(self.prefix, part)
-            return out
+            return self._kept(part, self.owner.word_ids(self.prefix, part))
         if not part or part[-1].isspace():
             raise _Irregular
         if part[-1] in ",." and (word := part[:-1]).isalpha():
-            mark = self.owner.marks[part[-1]]
-            if word in self:
-                out = self[part] = self[word] + mark
-                return out
-            return self[word] + mark
+            ids = self[word] + self.owner.marks[part[-1]]
+            return self._kept(part, ids) if word in self else ids
         if "\n" in part:
             lines = part.split("\n")
             if all(x and not x[0].isspace() and not x[-1].isspace() for x in lines):
                 rest = self.owner.first
                 return self[lines[0]] + b"".join([self.owner.newline + rest[x] for x in lines[1:]])
-        out = self.owner.library_ids(self.lead + part)
-        if len(part) <= 32:
-            self[part] = out
-        return out
+        return self._kept(part, self.owner.library_ids(self.lead + part))
 
 
 class CachedTokenizer:

@@ -7,9 +7,9 @@ row groups and pages of stated sizes, and page indexes. A reader that wants the
 metadata only, or a few documents, skips the id pages altogether.
 
 Defined results: a null text is the empty text and holds the end id alone; rows
-that repeat a ``doc_id`` stay, ordered by the checksum of their ids; a null
-``doc_id`` sorts first; other input columns are ignored; an empty table makes an
-empty store.
+that repeat a ``doc_id`` stay, ordered by the hash of their texts; a null
+``doc_id`` sorts first; a text of any length is one row; other input columns are
+ignored; an empty table makes an empty store.
 """
 
 from __future__ import annotations
@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm._shared import bounded_batches, shuffle_partitions, text_of
+from tidemark.llm._shared import bounded_batches, partitions_for, text_of
 from tidemark.llm._tokens import END_ID
 
 ENCODED = "doc_id long, n_tokens long, text_crc32 long, part int, before long, ids array<int>"
@@ -38,6 +38,10 @@ LAYOUT = {
 }
 
 
+#: Files of a store: a reader broadcasts 16 bytes for each.
+MOST_FILES = 1 << 17
+
+
 def encode_partition(batches: Iterator[pa.RecordBatch], path: str, end_id: int) -> Iterator[pa.RecordBatch]:
     """doc_id, text, part -> the rows of the store; ``before`` counts the ids before a row in its partition."""
     from tidemark.llm._tokens import tokenizer
@@ -66,8 +70,10 @@ def write(documents: DataFrame, path: str, tokenizer_path: str, end_id: int = EN
     bounded_batches(spark)
     rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     tie = F.xxhash64("text")
+    if (partitions or 0) > MOST_FILES:
+        raise ValueError(f"at most {MOST_FILES} partitions")
     placed = (
-        rows.repartitionByRange(partitions or shuffle_partitions(spark), F.col("doc_id"), tie)
+        rows.repartitionByRange(partitions or min(partitions_for(rows), MOST_FILES), F.col("doc_id"), tie)
         .sortWithinPartitions("doc_id", tie)
         .withColumn("part", F.spark_partition_id())
     )
@@ -84,7 +90,7 @@ def read(spark: SparkSession, path: str, columns: list[str] | None = None) -> Da
     ``columns`` keeps the scan to what is asked for; ids are read only if named.
     """
     raw = spark.read.schema(ENCODED).parquet(path)
-    # one row per partition of the writer: their number is the number of files
+    # one row per partition of the writer, MOST_FILES at most: broadcast, so that no ids are shuffled
     totals = raw.groupBy("part").agg(F.max(F.col("before") + F.col("n_tokens")).alias("ids_here"))
     from pyspark.sql import Window
 
@@ -92,7 +98,7 @@ def read(spark: SparkSession, path: str, columns: list[str] | None = None) -> Da
         F.col("part").alias("_part"),
         F.coalesce(F.sum("ids_here").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_offset"),
     )
-    out = raw.join(offsets, raw["part"] == offsets["_part"]).withColumn("start", F.col("_offset") + F.col("before"))
+    out = raw.join(F.broadcast(offsets), raw["part"] == offsets["_part"]).withColumn("start", F.col("_offset") + F.col("before"))
     return out.select(*(columns or ["doc_id", "start", "n_tokens", "ids"]))
 
 
