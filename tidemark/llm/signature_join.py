@@ -41,7 +41,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.llm._components import components
@@ -375,7 +375,7 @@ def prefix_of(found: np.ndarray, levels: Levels) -> np.ndarray | None:
     return found[again[np.argsort(level[again], kind="stable")[: spare + 1 - once]]]
 
 
-SETS = "doc_id long, n_shingles long, node long, prefix array<long>, shingles binary"
+SETS = "doc_id long, text_hash long, n_shingles long, node long, prefix array<long>, shingles binary"
 
 
 def _set_batches(batches: Iterator[pa.RecordBatch], levels) -> Iterator[pa.RecordBatch]:
@@ -399,7 +399,7 @@ def _set_batches(batches: Iterator[pa.RecordBatch], levels) -> Iterator[pa.Recor
             prefixes.append(None if prefix is None else prefix.view(np.int64))
             kept.append(None if prefix is None else raw)
         kinds = (pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.binary())
-        yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, k) for c, k in zip((sizes, nodes, prefixes, kept), kinds, strict=True))], ["doc_id", "n_shingles", "node", "prefix", "shingles"])
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), *(pa.array(c, k) for c, k in zip((sizes, nodes, prefixes, kept), kinds, strict=True))], ["doc_id", "text_hash", "n_shingles", "node", "prefix", "shingles"])
 
 
 def _join_batches(batches: Iterator[pa.RecordBatch], labelled: bool) -> Iterator[pa.RecordBatch]:
@@ -430,11 +430,11 @@ def _join_blocks(rows: DataFrame, partitions: int, labelled: bool = False) -> Da
     return placed.mapInArrow(lambda b: _join_batches(b, labelled), "a long, b long")
 
 
-def similarity_components(documents: DataFrame, block_sets: int = BLOCK_SETS, block_shingles: int = BLOCK_SHINGLES) -> DataFrame:
-    """doc_id, n_shingles and component_id (the smallest doc_id reachable by links) of every row."""
+def linked_sets(documents: DataFrame, block_sets: int = BLOCK_SETS, block_shingles: int = BLOCK_SHINGLES) -> tuple[DataFrame, DataFrame]:
+    """A row for each document with its set's size and node, and the root of every node that has a link."""
     spark = documents.sparkSession
     bounded_batches(spark)
-    rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.xxhash64("text").alias("text_hash"))
     cells = Cells(min(max((expected_bytes(rows) // ROW_BYTES).bit_length(), ROW_BITS[0]), ROW_BITS[1]))
     counted = rows.select("text").mapInArrow(lambda b: _sorted_batches(b, cells), COUNTS).repartition(partitions_for(rows), "row").sortWithinPartitions("row")
     repeated = stage(counted.mapInArrow(lambda b: _repeated_batches(b, cells), REPEATED), "repeated-shingles")
@@ -466,7 +466,7 @@ def similarity_components(documents: DataFrame, block_sets: int = BLOCK_SETS, bl
 
     if sized.filter("chunks > 1").limit(1).count():
         links = _join_rest(sets, sized.filter("chunks > 1"), links, block_sets, block_shingles)
-    return _label(sets, links)
+    return sets.select("doc_id", "text_hash", "n_shingles", "node"), components(links)
 
 
 def _with_sets(sets: DataFrame, rows: DataFrame) -> DataFrame:
@@ -503,11 +503,36 @@ def _join_rest(sets: DataFrame, sized: DataFrame, links: DataFrame, block_sets:
     return links.unionByName(more)
 
 
-def _label(sets: DataFrame, links: DataFrame) -> DataFrame:
-    """Carry the components of the links back to all documents."""
+def similarity_components(documents: DataFrame, block_sets: int = BLOCK_SETS, block_shingles: int = BLOCK_SHINGLES) -> DataFrame:
+    """doc_id, n_shingles and component_id (the smallest doc_id reachable by links) of every row."""
+    sets, roots = linked_sets(documents, block_sets, block_shingles)
     first = sets.filter("node IS NOT NULL").groupBy("node").agg(F.min("doc_id").alias("first"))
-    rooted = first.join(components(links), "node", "left").withColumn("root", F.coalesce("root", "node"))
+    rooted = first.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     least = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
     named = rooted.join(least, "root").select("node", "component_id")
-    out = sets.select("doc_id", "n_shingles", "node").join(named, "node", "left")
+    out = sets.join(named, "node", "left")
     return out.select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
+
+
+def keep_one_of_each(documents: DataFrame) -> DataFrame:
+    """The documents without those that are linked to one that stays: of each component one row, with all its columns.
+
+    It is the row with the smallest doc_id (null last), of equal ids that with the
+    smallest hash of its text, of rows equal in both any one. Rows without a word
+    are in no component and all stay.
+    """
+    sets, roots = linked_sets(documents)
+    least = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash")
+    first = sets.filter("node IS NOT NULL").groupBy("node").agg(F.min(least).alias("first"))
+    rooted = stage(first.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")), "rooted")
+    heads = stage(rooted.groupBy("root").agg(F.min("first").alias("head")), "heads")
+    of = stage(rooted.join(heads, "root").select("node", "head.doc_id", "head.text_hash"), "heads-of-sets").select("node", F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash"))
+    other = sets.join(of, "node").filter(~(F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("text_hash") == F.col("_hash"))))
+    gone = other.select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash")).distinct()
+    names = documents.columns
+    rows = documents.select(F.struct(*names).alias("_row"), F.col("doc_id").cast("long").alias("_doc"), F.xxhash64(F.col("text").cast("string")).alias("_text"))
+    kept = rows.join(gone, rows["_doc"].eqNullSafe(gone["_id"]) & (rows["_text"] == gone["_hash"]), "left_anti")
+    # rows that are equal in id and text are few: most keys have one row
+    order = Window.partitionBy("_doc", "_text").orderBy(F.xxhash64("_row"))
+    wordless = ~F.coalesce(F.col("_row.text").cast("string").rlike(r"[^ \t-\r]"), F.lit(False))
+    return kept.withColumn("_rank", F.row_number().over(order)).filter((F.col("_rank") == 1) | wordless).select("_row.*")
