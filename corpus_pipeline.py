@@ -33,9 +33,8 @@ def line_deduplication(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each component stays: the one with the smallest doc_id."""
-    found = signature_join.similarity_components(docs).select(F.col("doc_id").alias("_id"), "component_id").filter("_id <> component_id").select("_id").distinct()
-    return docs.join(found, docs["doc_id"] == found["_id"], "left_anti")
+    """One row of each component stays: that with the smallest doc_id."""
+    return signature_join.keep_one_of_each(docs)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -56,7 +55,7 @@ STAGES = [
     ("best-fit packing", best_fit_packing),
 ]
 
-#: No SQL: a trained network, shingle components and a tokenizer are not SQL; tests hold stages against brute force.
+#: No SQL: a trained network, shingle components and a tokenizer are not SQL; tests hold each stage against brute force.
 ORACLE_SQL = None
 
 
