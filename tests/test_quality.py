@@ -106,3 +106,40 @@ def test_event_report(spark):
     assert [r.trip_id for r in out["midnight"].collect()] == [1] and out["zero_pickups"].count() == 1
     assert {r.trip_id: r.status_sequence for r in out["sequences"].collect()}[1] == ["requested", "completed"]
     assert out["delay"].first()["mean"] == 300.0
+
+
+def test_rules_cost_one_job(spark):
+    df = spark.createDataFrame([(1, "a", 1.0), (2, None, 5.0), (2, None, 5.0), (3, "b", None)], "id int, name string, x double")
+    tracker, group = spark.sparkContext.statusTracker(), "one-job"
+    spark.sparkContext.setJobGroup(group, "rules")
+    try:
+        Q.validate_dataset(df, {"null_checks": {}, "data_type_checks": {"id": "int"}, "range_checks": [{"column": "x", "min_value": i} for i in range(5)]})
+        assert len(tracker.getJobIdsForGroup(group)) <= 2  # adaptive execution runs the partial aggregation as one
+    finally:
+        spark.sparkContext.setJobGroup("", "")
+    ok, found = Q.validate_dataset(df, {"null_checks": {"columns": []}, "duplicate_checks": {}, "range_checks": []})
+    assert not ok and found["total_checks"] == 1
+
+
+def test_quartiles_of_any_spread(spark):
+    import random
+
+    rng = random.Random(2)
+    for values in ([3.0], [1.0, 2.0], [rng.random() for _ in range(999)], [float(rng.randrange(5)) for _ in range(500)], [None, 4.0, 4.0, -1.5]):
+        df = spark.createDataFrame([(v,) for v in values], "v double")
+        a, b = profiles.describe(df, "v").first().asDict(), profiles.describe_spread(df, "v", 8).first().asDict()
+        assert a.keys() == b.keys() and all(a[k] == pytest.approx(b[k]) or a[k] is None and b[k] is None for k in a)
+    assert profiles.describe_spread(spark.createDataFrame([], "v double"), "v").first()["count"] == 0
+    near = profiles.describe(spark.range(10_000), "id", accuracy=1000).first()
+    assert abs(near["p50"] - 5000) <= 10 and profiles.group_figures(spark.range(100).selectExpr("id % 2 AS k", "id"), "k", "id", 100).count() == 2
+
+
+def test_peek_shape_and_schema(spark):
+    df = spark.range(9).selectExpr("id", "string(id) AS s")
+    assert profiles.peek(df, 3).count() == 3 and profiles.shape(df) == (9, 2) and "s: string" in profiles.schema_text(df)
+
+
+def test_either_zero(spark):
+    rows = log(spark, (1, 1, "requested", "09 10:00", {"pickup_lat": Decimal("0")}), (2, 1, "requested", "09 10:01"), (3, 1, "requested", "09 10:02", {"pickup_lng": Decimal("181")}))
+    assert [r.event_id for r in rows.filter(E.invalid_point("pickup_lat", "pickup_lng", either_zero=True)).orderBy("event_id").collect()] == [1, 3]
+    assert [r.event_id for r in rows.filter(E.invalid_point("pickup_lat", "pickup_lng")).collect()] == [3]
