@@ -7,7 +7,8 @@ import tidemark.plans.session as session
 from tidemark.functions.schemas import CURRENT_TRIPS, OBJECT_INVENTORY, TRIP_EVENTS
 from tidemark.plans import current_state
 from tidemark.sources import files
-from tidemark.sources.versioned import VersionedTable, compact
+from tidemark.operators.merge import DuplicateSourceKey
+from tidemark.sources.versioned import BucketedTable, VersionedTable, compact
 from tidemark.streaming import events
 
 
@@ -71,5 +72,36 @@ def test_stream_rebuilds_trips(spark, tmp_path):
 
 
 def test_settings(monkeypatch):
-    monkeypatch.setenv("TIDEMARK_REGION", "eu-north-1")
-    assert session.get_config()["region"] == "eu-north-1" and len(session.get_config()) == 9
+    monkeypatch.setenv("AWS_REGION", "eu-north-1")
+    monkeypatch.setenv("HERE_DATA_RAW_PATH", "/raw")
+    names = "aws_region aws_account_id s3_bucket_raw s3_bucket_processed s3_bucket_analytics data_raw_path data_processed_path redshift_host redshift_database".split()
+    assert list(session.get_config()) == names and session.get_config()["aws_region"] == "eu-north-1"
+    assert session.get_config("HERE_")["data_raw_path"] == "/raw" and session.get_config("HERE_")["aws_region"] == "us-east-1"
+
+
+def test_listing_by_prefix_and_errors(spark, tmp_path):
+    for key in ("a/x.txt", "a/y.txt", "ab/z.txt", "c.txt"):
+        (tmp_path / key).parent.mkdir(exist_ok=True)
+        (tmp_path / key).write_text("x")
+    root = f"file://{tmp_path}"
+    assert files.list_files(spark, root) == ["a/x.txt", "a/y.txt", "ab/z.txt", "c.txt"]
+    assert files.list_files(spark, root, "a/") == ["a/x.txt", "a/y.txt"] and files.list_files(spark, str(tmp_path), "a") == ["a/x.txt", "a/y.txt", "ab/z.txt"]
+    assert files.list_files(spark, root + "/none") == [] and files.list_objects(spark, root + "/none").columns == OBJECT_INVENTORY.names
+    assert files.list_objects(spark, root).first().storage_class is None
+    assert files.download_file(spark, root, "a/x.txt", str(tmp_path / "copied")) and (tmp_path / "copied").read_text() == "x"
+
+
+def test_bucketed_upsert_rewrites_touched_buckets_only(spark, tmp_path):
+    schema = "k long, v string"
+    t = BucketedTable(spark, f"file://{tmp_path}/b", spark.createDataFrame([], schema).schema, ["k"], 8)
+    assert t.read().count() == 0 and t.upsert(spark.createDataFrame([], schema)) == 0
+    t.upsert(spark.createDataFrame([(i, "old") for i in range(100)] + [(None, "null key")], schema))
+    before = t.buckets()
+    t.upsert(spark.createDataFrame([(3, "new"), (200, "added")], schema))
+    after = t.buckets()
+    assert 1 <= sum(before.get(b) != v for b, v in after.items()) <= 2
+    rows = {r.k: r.v for r in t.read().collect()}
+    assert len(rows) == 102 and rows[3] == "new" and rows[200] == "added" and rows[4] == "old" and t.read().count() == 102
+    with pytest.raises(DuplicateSourceKey):
+        t.upsert(spark.createDataFrame([(1, "a"), (1, "b")], schema))
+    assert {r.k: r.v for r in t.read().collect()} == rows

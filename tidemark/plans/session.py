@@ -10,23 +10,22 @@ from pyspark.sql import SparkSession
 
 @dataclass(frozen=True)
 class Settings:
-    """Where data lives and how the log is set up; credentials are no part of it."""
-
-    region: str = "us-east-1"
-    raw_bucket: str = ""
-    processed_bucket: str = ""
-    warehouse_host: str = ""
-    warehouse_database: str = ""
-    catalog_database: str = ""
-    query_output: str = ""
-    log_level: str = "INFO"
-    environment: str = "development"
-
-
-def get_config(prefix: str = "TIDEMARK_") -> dict[str, str]:
-    """The nine settings, each from the environment or its default."""
-    defaults = asdict(Settings())
-    return asdict(Settings(**{k: os.environ.get(prefix + k.upper(), v) for k, v in defaults.items()}))
+    """Where data lives; ports, users and passwords are no part of it. The names are fixed values of the contract."""
+
+    aws_region: str = "us-east-1"
+    aws_account_id: str = ""
+    s3_bucket_raw: str = ""
+    s3_bucket_processed: str = ""
+    s3_bucket_analytics: str = ""
+    data_raw_path: str = "data/raw"
+    data_processed_path: str = "data/processed"
+    redshift_host: str = ""
+    redshift_database: str = ""
+
+
+def get_config(prefix: str = "") -> dict[str, str]:
+    """The nine settings, each from the environment variable of its name in capitals (after ``prefix``) or its default."""
+    return {name: os.environ.get(prefix + name.upper(), default) for name, default in asdict(Settings()).items()}
 
 
 def session(name: str = "tidemark", master: str | None = None, shuffle_partitions: int | None = None) -> SparkSession:

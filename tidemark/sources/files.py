@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import logging
+import re
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
@@ -72,10 +73,30 @@ def schema_drift(df: DataFrame, schema: T.StructType) -> dict[str, list[str]]:
     }
 
 
+LISTING = T.StructType().add("key", "string").add("size_bytes", "long").add("storage_class", "string").add("last_modified", "timestamp_ntz")
+
+
 def list_objects(spark: SparkSession, path: str) -> DataFrame:
-    """Objects under a path with size and time; contents are not read."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
-    return files.select(F.col("path").alias("key"), F.col("length").alias("size_bytes"), F.lit("STANDARD").alias("storage_class"), F.col("modificationTime").cast("timestamp_ntz").alias("last_modified"))
+    """Objects under a path with size and time; contents are not read (S7). Empty if the path can't be listed.
+
+    File systems don't tell the storage class; it is null, and filled by joining an inventory that has it.
+    """
+    try:
+        files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
+        return files.select(F.col("path").alias("key"), F.col("length").alias("size_bytes"), F.lit(None).cast("string").alias("storage_class"), F.col("modificationTime").cast("timestamp_ntz").alias("last_modified"))
+    except Exception:
+        log.exception("can't list %s", path)
+        return spark.createDataFrame([], LISTING)
+
+
+def list_files(spark: SparkSession, bucket: str, prefix: str = "") -> list[str]:
+    """Keys under ``bucket`` (any URI Hadoop can open) that begin with ``prefix``, in order; an empty list if it can't be listed (S3)."""
+    root = bucket.rstrip("/") + "/"
+    folder = prefix.rpartition("/")[0]
+    keys = (r["key"] for r in list_objects(spark, root + folder).select("key").toLocalIterator())
+    plain = re.compile(r"^\w+:/*")
+    base = plain.sub("/", root)
+    return sorted(k for k in (plain.sub("/", key).removeprefix(base) for key in keys) if k.startswith(prefix))
 
 
 def _copy(spark: SparkSession, source: str, target: str) -> bool:
