@@ -120,7 +120,7 @@ def test_regressions_of_replays_go_by_ingestion(spark):
         assert [(r.event_id, r.ingested_at) for r in latest.regressions_from_previous(both.coalesce(1)).collect()] == [(2, at("09 11:00"))]
 
 
-@pytest.mark.parametrize("name", ["status_regression_running_max_all", "status_regression_lag_all"])
+@pytest.mark.parametrize("name", ["status_regression_running_max", "status_regression_lag"])
 def test_regression_queries_cover_events_with_replays(spark, name):
     from tidemark.queries import QUERIES
 

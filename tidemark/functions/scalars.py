@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import datetime as dt
 from collections.abc import Mapping
 
 from pyspark.sql import Column
@@ -66,3 +67,13 @@ def first_group(column: Column | str, pattern: str) -> Column:
 def distinct_from(a: Column, b: Column) -> Column:
     """Inequality for which nulls are equal."""
     return ~a.eqNullSafe(b)
+
+
+def on_days(column: Column | str, first: dt.date, last: dt.date) -> Column:
+    """Whether a time lies on one of the days, both included; bounds on the bare column, so that scans can skip by them (P5, F1)."""
+    return (_col(column) >= F.lit(first)) & (_col(column) < F.lit(last + dt.timedelta(days=1)))
+
+
+def parsed_time(column: Column | str, pattern: str = "yyyy-MM-dd HH:mm:ss") -> Column:
+    """A text as a zone-free time; an error for what doesn't fit."""
+    return F.to_timestamp_ntz(_col(column), F.lit(pattern))

@@ -7,7 +7,7 @@ import datetime as dt
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.functions.scalars import status_precedence
+from tidemark.functions.scalars import on_days, status_precedence
 from tidemark.functions.schemas import CURRENT_TRIPS, LOOKBACK_DAYS
 from tidemark.operators.latest import drop_business_duplicates, drop_replays
 from tidemark.operators.merge import upsert
@@ -16,7 +16,7 @@ from tidemark.operators.merge import upsert
 def affected_trips(log: DataFrame, processing_date: dt.date, lookback_days: int = LOOKBACK_DAYS) -> DataFrame:
     """Trips with an event ingested from ``lookback_days`` before the date to the date, both included."""
     first = processing_date - dt.timedelta(days=lookback_days)
-    return log.filter(F.col("ingested_at").cast("date").between(F.lit(first), F.lit(processing_date))).select("trip_id").distinct()
+    return log.filter(on_days("ingested_at", first, processing_date)).select("trip_id").distinct()
 
 
 def history_of(log: DataFrame, trips: DataFrame) -> DataFrame:
@@ -35,7 +35,7 @@ def current_rows(events: DataFrame, as_of: dt.date | None = None) -> DataFrame:
     The trip date, the day of the first request, comes from a window over the same
     trips, so one shuffle serves both. ``as_of`` leaves out later events.
     """
-    rows = events if as_of is None else events.filter(F.col("event_ts").cast("date") <= F.lit(as_of))
+    rows = events if as_of is None else events.filter(F.col("event_ts") < F.lit(as_of + dt.timedelta(days=1)))
     trip = Window.partitionBy("trip_id")
     rows = rows.withColumn("_requested", F.min(F.when(F.col("status") == "requested", F.col("event_ts"))).over(trip)).withColumn("_precedence", status_precedence())
     order = trip.orderBy(F.desc("_precedence"), F.desc_nulls_last("event_ts"), F.desc_nulls_last("event_id"))

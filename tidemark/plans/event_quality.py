@@ -7,7 +7,7 @@ import datetime as dt
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.functions.scalars import outside
+from tidemark.functions.scalars import on_days, outside
 from tidemark.functions.schemas import FARE_RANGE
 from tidemark.operators.latest import BUSINESS_KEY, duplicate_groups, duplicate_members, regressions_from_highest
 
@@ -25,10 +25,15 @@ CHECKS = {
 }
 
 
-def invalid_point(lat: str, lng: str, either_zero: bool = False) -> Column:
-    """Out of bounds, or both coordinates zero (P6); ``either_zero``: one zero is enough."""
+def zero_point(lat: str, lng: str, either: bool = False) -> Column:
+    """Both coordinates zero; ``either``: one is enough."""
     a, b = F.col(lat) == 0, F.col(lng) == 0
-    return outside(lat, -90, 90) | outside(lng, -180, 180) | ((a | b) if either_zero else (a & b))
+    return (a | b) if either else (a & b)
+
+
+def invalid_point(lat: str, lng: str, either_zero: bool = False) -> Column:
+    """Out of bounds (P6), or zero."""
+    return outside(lat, -90, 90) | outside(lng, -180, 180) | zero_point(lat, lng, either_zero)
 
 
 def row_rules(fare_range: tuple[float, float] = FARE_RANGE) -> dict[str, Column]:
@@ -47,7 +52,7 @@ def row_rules(fare_range: tuple[float, float] = FARE_RANGE) -> dict[str, Column]
 def summary(log: DataFrame, processing_date: dt.date, fare_range: tuple[float, float] = FARE_RANGE) -> DataFrame:
     """One row per check with its failed records; seven checks share one scan."""
     rules = row_rules(fare_range)
-    day = F.col("ingested_at").cast("date") == F.lit(processing_date)
+    day = on_days("ingested_at", processing_date, processing_date)
     volume = F.when(F.count_if(day) == 0, 1).otherwise(0)
     wide = log.agg(volume.cast("long").alias("DAILY_EVENT_VOLUME"), *(F.count_if(rule).alias(name) for name, rule in rules.items()))
     counted = wide.select(F.inline(F.array(*(F.struct(F.lit(name).alias("check_name"), F.col(name).alias("failed_record_count")) for name in ["DAILY_EVENT_VOLUME", *rules]))))

@@ -11,6 +11,7 @@ from tidemark.functions.scalars import first_group
 from tidemark.functions.schemas import MEGABYTE, SMALL_FILE_MB
 from tidemark.operators import compare, profiles
 from tidemark.operators.latest import BUSINESS_KEY, duplicate_members, regressions_from_previous
+from tidemark.plans.event_quality import zero_point
 
 DATE_IN_KEY = r"event_date=(\d{4}-\d{2}-\d{2})"
 
@@ -24,6 +25,9 @@ def inventory_report(inventory: DataFrame, thresholds: Sequence[float] = SMALL_F
     """Small files, sizes and partitions of an object inventory."""
     rows = with_size_and_date(inventory)
     return {
+        "first_rows": profiles.peek(inventory),
+        "nulls": profiles.null_profile(inventory),
+        "columns": profiles.describe_all(inventory),
         "sizes": profiles.describe(rows, "size_mb"),
         "small_files": profiles.below_thresholds(rows, "size_mb", thresholds),
         "storage_classes": profiles.value_counts(rows, "storage_class", keep_null=True),
@@ -54,14 +58,19 @@ def midnight_trips(log: DataFrame) -> DataFrame:
 def event_report(log: DataFrame, fare_range: tuple[float, float] = (0, 300)) -> dict[str, DataFrame]:
     """Profile and anomaly lists of the event log (C14)."""
     return {
+        "first_rows": profiles.peek(log),
         "nulls": profiles.null_profile(log),
+        "columns": profiles.describe_all(log),
+        "distinct": profiles.distinct_counts(log, ["trip_id"]),
+        "repeated_events": profiles.duplicate_count(log, ["event_id"]),
+        "repeated_rows": profiles.duplicate_count(log),
         "statuses": profiles.value_counts(log, "status"),
         "events_per_trip": profiles.describe_group_sizes(log, "trip_id"),
         "delay": delay_figures(log),
         "ingested_early": late_events(log),
-        "zero_pickups": log.filter("pickup_lat = 0 OR pickup_lng = 0"),
+        "zero_pickups": log.filter(zero_point("pickup_lat", "pickup_lng", either=True)),
         "sequences": profiles.ordered_values(log, "trip_id", ["event_ts", "event_id"], "status"),
-        "filled_by_status": profiles.non_null_by_group(log, "status", ["fare_amount", "distance_km", "driver_id"]),
+        "filled_by_status": profiles.non_null_by_group(log, "status", ["fare_amount", "payment_method", "distance_km", "driver_id"]),
         "duplicate_members": duplicate_members(log, BUSINESS_KEY),
         "odd_fares": log.filter((F.col("fare_amount") < fare_range[0]) | (F.col("fare_amount") > fare_range[1])),
         "regressions": regressions_from_previous(log),

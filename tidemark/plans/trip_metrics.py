@@ -7,7 +7,7 @@ import datetime as dt
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.functions.scalars import seconds_between
+from tidemark.functions.scalars import on_days, seconds_between
 from tidemark.operators.latest import drop_business_duplicates
 
 COLUMNS = (
@@ -63,7 +63,14 @@ def with_durations(rows: DataFrame) -> DataFrame:
 
 
 def trip_metrics(log: DataFrame, trip_date: dt.date | None = None) -> DataFrame:
-    """Metrics of the trips requested on a date, in trip order; all trips without a date."""
+    """Metrics of the trips requested on a date, in trip order; all trips without a date.
+
+    Only trips with a request on that date are aggregated; those first requested
+    before it go afterwards.
+    """
+    if trip_date is not None:
+        that_day = log.filter((F.col("status") == "requested") & on_days("event_ts", trip_date, trip_date)).select("trip_id").distinct()
+        log = log.join(that_day, "trip_id", "left_semi")
     rows = with_durations(milestones(drop_business_duplicates(log)))
     if trip_date is not None:
         rows = rows.filter(F.col("trip_date") == F.lit(trip_date))

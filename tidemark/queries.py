@@ -13,10 +13,11 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidemark.functions.scalars import on_days, parsed_time
 from tidemark.functions.schemas import DIM_DRIVER
 from tidemark.operators import compare, latest, merge, profiles
 from tidemark.plans import current_state as rebuild
-from tidemark.plans import driver_history, event_quality, members, reports, trip_metrics
+from tidemark.plans import dataset_checks, driver_history, event_quality, members, reports, trip_metrics
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -187,7 +188,7 @@ def affected_keys(spark, sf_dir):
 
 @query("SELECT l_orderkey, l_linenumber, l_partkey FROM lineitem WHERE l_orderkey IN (SELECT o_orderkey FROM orders WHERE CAST(o_orderdate AS DATE) BETWEEN DATE '1995-03-01' AND DATE '1995-03-03')")
 def semi_join_reduction(spark, sf_dir):
-    chosen = _read(spark, sf_dir, "orders").filter(F.col("o_orderdate").cast("date").between(F.lit(dt.date(1995, 3, 1)), F.lit(dt.date(1995, 3, 3))))
+    chosen = _read(spark, sf_dir, "orders").filter(on_days("o_orderdate", dt.date(1995, 3, 1), dt.date(1995, 3, 3)))
     lines = _read(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey")
     return lines.join(chosen, lines["l_orderkey"] == chosen["o_orderkey"], "left_semi")
 
@@ -220,6 +221,16 @@ def upsert_result(spark, sf_dir):
     return merge.upsert(target, rows.filter("trip_id % 3 = 0"), ["trip_id"], check=False)
 
 
+@query(f"{_W_LOG}, {_AFFECTED}, {_HISTORY}, {_EXACT.format(source='history')}, {_BUSINESS.format(source='exact')}, {_CURRENT}, target AS (SELECT trip_id FROM log GROUP BY 1 HAVING trip_id % 4 <> 0) SELECT * FROM current UNION ALL SELECT t.trip_id, * EXCLUDE (trip_id) REPLACE ('stale' AS current_status) FROM target t LEFT JOIN (SELECT * FROM current WHERE FALSE) c USING (trip_id) WHERE t.trip_id NOT IN (SELECT trip_id FROM current)")
+def current_applied_twice(spark, sf_dir):
+    """The current table of three quarters of the trips, known by id only, after the same date was applied to it twice."""
+    log = event_log(spark, sf_dir)
+    columns = rebuild.build_current(log, DAY)
+    known = log.select("trip_id").distinct().filter("trip_id % 4 <> 0")
+    target = known.select(*(F.col("trip_id") if f.name == "trip_id" else F.lit("stale" if f.name == "current_status" else None).cast(f.dataType).alias(f.name) for f in columns.schema))
+    return rebuild.apply_current(rebuild.apply_current(target, log, DAY), log, DAY)
+
+
 @query(f"{_W_LOG}, {_BUSINESS.format(source='log')} SELECT trip_id, CAST(min(event_ts) FILTER (WHERE status = 'requested') AS DATE) AS trip_date FROM business GROUP BY trip_id")
 def trip_dates_min_filter(spark, sf_dir):
     rows = latest.drop_business_duplicates(event_log(spark, sf_dir))
@@ -272,9 +283,25 @@ def quarantined_rows(spark, sf_dir):
     return event_quality.quarantine_split(event_log(spark, sf_dir), FARES)[1]
 
 
+@query(f"{_W_LOG} SELECT * FROM log WHERE NOT coalesce(" + " OR ".join(f"coalesce({_ROW_RULES[k]}, FALSE)" for k, (_, a) in event_quality.CHECKS.items() if a == "QUARANTINE" and k in _ROW_RULES) + ", FALSE)")
+def accepted_rows(spark, sf_dir):
+    return event_quality.quarantine_split(event_log(spark, sf_dir), FARES)[0]
+
+
+@query(f"{_W_LOG} SELECT d AS processing_date, count(ingested_at) > 0 AS may_publish FROM (VALUES (DATE '2024-01-10'), (DATE '2031-01-01')) AS days(d) LEFT JOIN log ON CAST(ingested_at AS DATE) = d GROUP BY d")
+def publication_gate(spark, sf_dir):
+    log = event_log(spark, sf_dir)
+    return spark.createDataFrame([(d, event_quality.may_publish(event_quality.summary(log, d, FARES))) for d in (DAY, dt.date(2031, 1, 1))], "processing_date date, may_publish boolean")
+
+
 @query(f"{_W_LOG} SELECT * FROM log WHERE pickup_lat = 0 OR pickup_lng = 0")
 def zero_pickups(spark, sf_dir):
-    return event_log(spark, sf_dir).filter("pickup_lat = 0 OR pickup_lng = 0")
+    return reports.event_report(event_log(spark, sf_dir), FARES)["zero_pickups"]
+
+
+@query(f"{_W_LOG} SELECT * FROM log WHERE pickup_lat NOT BETWEEN -90 AND 90 OR pickup_lng NOT BETWEEN -180 AND 180 OR pickup_lat = 0 OR pickup_lng = 0")
+def invalid_pickups_either_zero(spark, sf_dir):
+    return event_log(spark, sf_dir).filter(event_quality.invalid_point("pickup_lat", "pickup_lng", either_zero=True))
 
 
 @query(f"{_W_LOG} SELECT * FROM log WHERE fare_amount < 0 OR fare_amount > 100")
@@ -292,25 +319,13 @@ def duplicate_members(spark, sf_dir):
     return latest.duplicate_members(event_log(spark, sf_dir))
 
 
-@query(f"WITH log AS (SELECT * FROM ({_DUCK_LOG}) WHERE event_id % 50 <> 0), {_BACK} SELECT * FROM back")
-def status_regression_running_max(spark, sf_dir):
-    """Without the events that have a replay, as its SQL; the whole log is status_regression_running_max_all."""
-    return latest.regressions_from_highest(event_log(spark, sf_dir).filter("event_id % 50 <> 0"))
-
-
-@query(f"WITH log AS (SELECT * FROM ({_DUCK_LOG}) WHERE event_id % 50 <> 0), ranked AS (SELECT *, CASE status WHEN 'requested' THEN 1 WHEN 'driver_assigned' THEN 2 WHEN 'picked_up' THEN 3 WHEN 'completed' THEN 4 END AS status_rank FROM log) SELECT * FROM (SELECT *, lag(status_rank) OVER (PARTITION BY trip_id ORDER BY event_ts, event_id) AS previous_rank FROM ranked) WHERE status_rank < previous_rank")
-def status_regression_lag(spark, sf_dir):
-    """Without the events that have a replay, as its SQL; the whole log is status_regression_lag_all."""
-    return latest.regressions_from_previous(event_log(spark, sf_dir).filter("event_id % 50 <> 0"))
-
-
 @query(f"{_W_LOG}, ranked AS (SELECT *, {_PRECEDENCE} AS status_precedence FROM log) SELECT * FROM (SELECT *, max(status_precedence) OVER (PARTITION BY trip_id ORDER BY event_ts, event_id, ingested_at, status ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS highest_before FROM ranked) WHERE status_precedence < highest_before")
-def status_regression_running_max_all(spark, sf_dir):
+def status_regression_running_max(spark, sf_dir):
     return latest.regressions_from_highest(event_log(spark, sf_dir))
 
 
 @query(f"{_W_LOG}, ranked AS (SELECT *, CASE status WHEN 'requested' THEN 1 WHEN 'driver_assigned' THEN 2 WHEN 'picked_up' THEN 3 WHEN 'completed' THEN 4 END AS status_rank FROM log) SELECT * FROM (SELECT *, lag(status_rank) OVER (PARTITION BY trip_id ORDER BY event_ts, event_id, ingested_at, status) AS previous_rank FROM ranked) WHERE status_rank < previous_rank")
-def status_regression_lag_all(spark, sf_dir):
+def status_regression_lag(spark, sf_dir):
     return latest.regressions_from_previous(event_log(spark, sf_dir))
 
 
@@ -474,11 +489,16 @@ def numeric_describe(spark, sf_dir):
 
 
 @query(
-    "SELECT 'c_custkey' AS column_name, count(c_custkey) AS count, CAST(NULL AS BIGINT) AS \"unique\", CAST(NULL AS VARCHAR) AS top, CAST(NULL AS BIGINT) AS freq, " + _figures("c_custkey").split(", ", 1)[1] + " FROM customer UNION ALL "
-    "SELECT 'c_mktsegment', CAST(sum(n) AS BIGINT), count(*), arg_max(c_mktsegment, (n, c_mktsegment)), max(n), NULL, NULL, NULL, NULL, NULL, NULL, NULL FROM (SELECT c_mktsegment, count(*) AS n FROM customer GROUP BY 1)"
+    " UNION ALL ".join(f"SELECT '{c}' AS column_name, count({c}) AS count, CAST(NULL AS BIGINT) AS \"unique\", CAST(NULL AS VARCHAR) AS top, CAST(NULL AS BIGINT) AS freq, " + _figures(c).split(", ", 1)[1] + " FROM customer" for c in ("c_custkey", "c_nationkey", "c_acctbal")) + " UNION ALL "
+    + " UNION ALL ".join(f"SELECT '{c}', CAST(sum(n) AS BIGINT), count(*), arg_max({c}, (n, {c})), max(n), NULL, NULL, NULL, NULL, NULL, NULL, NULL FROM (SELECT {c}, count(*) AS n FROM customer GROUP BY 1)" for c in ("c_name", "c_mktsegment"))
 )
 def describe_all(spark, sf_dir):
-    return _rounded(profiles.describe_all(_read(spark, sf_dir, "customer").select("c_custkey", "c_mktsegment")))
+    return _rounded(profiles.describe_all(_read(spark, sf_dir, "customer")))
+
+
+@query(f"SELECT {_figures('l_extendedprice')} FROM lineitem")
+def numeric_describe_spread(spark, sf_dir):
+    return _rounded(profiles.describe_spread(_read(spark, sf_dir, "lineitem"), "l_extendedprice"))
 
 
 @query("SELECT CAST(coalesce(sum(n - 1), 0) AS BIGINT) AS duplicate_rows, CAST(sum(n) AS BIGINT) AS total_rows FROM (SELECT count(*) AS n FROM lineitem GROUP BY l_orderkey, l_linenumber)")
@@ -486,6 +506,17 @@ def duplicate_row_count(spark, sf_dir):
     return profiles.duplicate_count(_read(spark, sf_dir, "lineitem"), ["l_orderkey", "l_linenumber"])
 
 
+@query(f"{_W_LOG} SELECT CAST(coalesce(sum(n - 1), 0) AS BIGINT) AS duplicate_rows, CAST(sum(n) AS BIGINT) AS total_rows FROM (SELECT count(*) AS n FROM log GROUP BY {', '.join(c for c in _LOG_ORDER if c not in ('event_id', 'ingested_at', 'fare_amount'))})")
+def duplicate_rows_of_whole_rows(spark, sf_dir):
+    return profiles.duplicate_count(event_log(spark, sf_dir).drop("event_id", "ingested_at", "fare_amount"))
+
+
+@query(f"{_W_LOG} SELECT event_id, event_ts FROM log")
+def parsed_times(spark, sf_dir):
+    """Times that come as text."""
+    return event_log(spark, sf_dir).select("event_id", F.date_format("event_ts", "yyyy-MM-dd HH:mm:ss").alias("text")).select("event_id", parsed_time("text").alias("event_ts"))
+
+
 @query(f"{_W_LOG} SELECT status, count(fare_amount) AS fare_amount, count(distance_km) AS distance_km, count(driver_id) AS driver_id FROM log GROUP BY 1")
 def non_null_by_group(spark, sf_dir):
     return profiles.non_null_by_group(event_log(spark, sf_dir), "status", ["fare_amount", "distance_km", "driver_id"])
@@ -560,3 +591,83 @@ def largest_topk(spark, sf_dir):
 @query(f"{_W_FILES} SELECT key, size_mb FROM files ORDER BY size_mb, key LIMIT 20")
 def smallest_topk(spark, sf_dir):
     return reports.inventory_report(inventory(spark, sf_dir))["smallest"].select("key", "size_mb")
+
+
+# ---- rule-driven validation of any table
+
+RULES = {
+    "null_checks": {"columns": ["event_id", "driver_id", "fare_amount", "promo_code_id"], "threshold": 15},
+    "duplicate_checks": {"subset": ["event_id"]},
+    "data_type_checks": {"event_id": "INT", "status": "str", "fare_amount": "float64", "city_id": "string", "nowhere": "int"},
+    "range_checks": [{"column": "fare_amount", "min_value": 0, "max_value": 100}, {"column": "surge_multiplier", "min_value": 1}, {"column": "pickup_lat", "max_value": 90}, {"column": "nowhere", "min_value": 0}],
+}
+
+
+def _null_sql(table: str, threshold: float, *columns: str) -> str:
+    share = "100.0 * count(*) FILTER (WHERE {c} IS NULL) / count(*)"
+    return " UNION ALL ".join(f"SELECT '{c}' AS column_name, count(*) FILTER (WHERE {c} IS NULL) AS null_count, round_even({share.format(c=c)}, 2) AS null_percentage, {share.format(c=c)} <= {threshold} AS passed FROM {table}" for c in columns)
+
+
+def _range_sql(table: str, *rules: dict) -> str:
+    def outside(r: dict) -> str:
+        return " OR ".join(f"{r['column']} {sign} {r[bound]}" for bound, sign in (("min_value", "<"), ("max_value", ">")) if bound in r)
+
+    return " UNION ALL ".join(f"SELECT '{r['column']}' AS column_name, count(*) FILTER (WHERE {outside(r)}) AS violations, round_even(100.0 * count(*) FILTER (WHERE {outside(r)}) / count({r['column']}), 2) AS violation_percentage, count(*) FILTER (WHERE {outside(r)}) = 0 AS passed FROM {table}" for r in rules)
+
+
+def _repeat_sql(table: str, subset: str, label: str) -> str:
+    return f"SELECT '{label}' AS keys, CAST(sum(n - 1) AS BIGINT) AS duplicate_rows, round_even(100.0 * sum(n - 1) / sum(n), 2) AS duplicate_percentage, CAST(sum(n) AS BIGINT) AS total_rows, sum(n - 1) = 0 AS passed FROM (SELECT count(*) AS n FROM {table} GROUP BY {subset})"
+
+
+@query(f"{_W_LOG} " + _null_sql("log", 10, *_LOG_ORDER))
+def checked_nulls(spark, sf_dir):
+    found = dataset_checks.DataQualityChecker(event_log(spark, sf_dir), "log").check_null_values(threshold=10)
+    return spark.createDataFrame([(c, x["null_count"], x["null_percentage"], x["passed"]) for c, x in found.items()], "column_name string, null_count long, null_percentage double, passed boolean")
+
+
+@query(f"{_W_LOG} " + " UNION ALL ".join(_repeat_sql("log", subset, label) for subset, label in (("event_id", "event_id"), ("trip_id, status, event_ts", "trip_id, status, event_ts"), (", ".join(_LOG_ORDER), "all"))))
+def checked_duplicates(spark, sf_dir):
+    checker = dataset_checks.DataQualityChecker(event_log(spark, sf_dir), "log")
+    found = [(", ".join(keys) if keys else "all", checker.check_duplicates(keys)) for keys in (["event_id"], ["trip_id", "status", "event_ts"], None)]
+    return spark.createDataFrame([(k, x["duplicate_rows"], float(x["duplicate_percentage"]), x["total_rows"], x["passed"]) for k, x in found], "keys string, duplicate_rows long, duplicate_percentage double, total_rows long, passed boolean")
+
+
+@query("SELECT * FROM (VALUES ('event_id', TRUE, 'INT', 'bigint', TRUE), ('status', TRUE, 'str', 'string', TRUE), ('fare_amount', TRUE, 'float64', 'double', TRUE), ('city_id', TRUE, 'string', 'int', FALSE), ('nowhere', FALSE, NULL, NULL, FALSE)) AS t(column_name, found, expected_type, actual_type, passed)")
+def checked_types(spark, sf_dir):
+    found = dataset_checks.DataQualityChecker(event_log(spark, sf_dir), "log").check_data_types(RULES["data_type_checks"])
+    return spark.createDataFrame([(c, x.get("exists", True), x.get("expected_type"), x.get("actual_type"), x["passed"]) for c, x in found.items()], "column_name string, found boolean, expected_type string, actual_type string, passed boolean")
+
+
+@query(f"{_W_LOG} " + _range_sql("log", *RULES["range_checks"][:3]))
+def checked_ranges(spark, sf_dir):
+    checker = dataset_checks.DataQualityChecker(event_log(spark, sf_dir), "log")
+    found = [checker.check_value_range(**r) for r in RULES["range_checks"][:3]]
+    return spark.createDataFrame([(x["column"], x["violations"], float(x["violation_percentage"]), x["passed"]) for x in found], "column_name string, violations long, violation_percentage double, passed boolean")
+
+
+_OUTCOMES = f"nulls AS ({_null_sql('log', 15, *RULES['null_checks']['columns'])}), ranges AS ({_range_sql('log', *RULES['range_checks'][:3])}), repeats AS ({_repeat_sql('log', 'event_id', 'event_id')}), outcomes AS (SELECT passed FROM nulls UNION ALL SELECT passed FROM ranges UNION ALL SELECT passed FROM repeats UNION ALL SELECT * FROM (VALUES (TRUE), (TRUE), (TRUE), (FALSE), (FALSE)) AS types(passed))"
+
+
+@query(f"{_W_LOG}, {_OUTCOMES} SELECT '' AS table_name, bool_and(passed) AS is_valid, count(*) AS total_checks, count(*) FILTER (WHERE passed) AS passed, count(*) FILTER (WHERE NOT passed) AS failed, round_even(100.0 * count(*) FILTER (WHERE passed) / count(*), 2) AS success_rate FROM outcomes")
+def validated_dataset(spark, sf_dir):
+    """All rules of a set in one job (Q7, C15); the rule on an unknown column counts neither way."""
+    valid, found = dataset_checks.validate_dataset(event_log(spark, sf_dir), RULES)
+    return spark.createDataFrame([(found["table_name"], valid, found["total_checks"], found["passed"], found["failed"], float(found["success_rate"]))], "table_name string, is_valid boolean, total_checks long, passed long, failed long, success_rate double")
+
+
+@query(f"{_W_LOG}, n AS ({_null_sql('log', 0, 'status', 'driver_id')}), r AS ({_range_sql('log', RULES['range_checks'][1])}), outcomes AS (SELECT passed FROM n UNION ALL SELECT passed FROM r) SELECT 'log' AS table_name, count(*) AS total_checks, count(*) FILTER (WHERE passed) AS passed, count(*) FILTER (WHERE NOT passed) AS failed, round_even(100.0 * count(*) FILTER (WHERE passed) / count(*), 2) AS success_rate FROM outcomes")
+def checker_summary(spark, sf_dir):
+    """What a checker has gathered over several calls (Q1, Q6)."""
+    checker = dataset_checks.DataQualityChecker(event_log(spark, sf_dir), "log")
+    checker.check_null_values(["status", "driver_id"])
+    checker.check_value_range("surge_multiplier", 1)
+    checker.check_value_range("nowhere", 1)
+    x = checker.get_summary()
+    return spark.createDataFrame([(x["table_name"], x["total_checks"], x["passed"], x["failed"], float(x["success_rate"]))], "table_name string, total_checks long, passed long, failed long, success_rate double")
+
+
+@query(f"{_W_LOG} " + " UNION ALL ".join(f"SELECT '{c}' AS column_name, count(*) AS rows, count(*) FILTER (WHERE {c} IS NULL) AS null_count FROM log" for c in _LOG_ORDER))
+def table_profile(spark, sf_dir):
+    """Rows, columns and nulls of a table as its profile tells them."""
+    found = profiles.data_profile(event_log(spark, sf_dir))
+    return spark.createDataFrame([(c, found["rows"], found["null_counts"][c]) for c in found["column_names"]], "column_name string, rows long, null_count long")
