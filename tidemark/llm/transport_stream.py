@@ -7,16 +7,25 @@ a clock reference at the start of each. ``demux`` goes the other way: it reads
 the program tables, checks sync bytes and continuity counters, reassembles the
 elementary packets and lists timestamps with the random-access points.
 
+A media column has the points beside it: (ticks, first packet, first sample) of
+each. ``samples_from`` seeks by them and reads only the packets from the point
+before the wanted samples to their end; reading a whole stream back checks that
+the stored points are those of the stream.
+
 Defined results: a null text is the empty text; an empty text gives one block of
-64 zero bytes; a table without rows gives none; repeated rows and other columns
-do no harm; a damaged stream raises ``ValueError`` when a table or packet can't
-be read and counts lost packets as continuity errors otherwise.
+64 zero bytes; texts of any length are stored whole, in elementary packets of
+bounded size; a table without rows gives none; a null ``doc_id`` stays null;
+repeated rows are stored each for itself; other columns are ignored; a damaged
+stream raises ``ValueError`` when a table or packet can't be read, or the points
+stored with it aren't its own, and counts lost packets as continuity errors
+otherwise.
 """
 
 from __future__ import annotations
 
 import hashlib
 import zlib
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 from functools import lru_cache
@@ -89,7 +98,14 @@ def pad(data: bytes) -> bytes:
 
 def mux(samples: bytes) -> bytes:
     """8-bit samples as a transport stream of one program."""
+    return mux_with_points(samples)[0]
+
+
+def mux_with_points(samples: bytes) -> tuple[bytes, list[tuple[int, int, int]]]:
+    """The stream and its random-access points: (ticks, first packet, first sample) of each."""
     out: list[np.ndarray] = []
+    points: list[tuple[int, int, int]] = []
+    written = 0
     counters = {PAT_PID: 0, PMT_PID: 0, DATA_PID: 0}
 
     def tables() -> None:
@@ -101,6 +117,7 @@ def mux(samples: bytes) -> bytes:
     for k, at in enumerate(range(0, len(samples), PES_SAMPLES)):
         if k % TABLES_EVERY == 0:
             tables()
+            written += 2
         part = samples[at : at + PES_SAMPLES]
         ticks = at * CLOCK // SAMPLES_A_SECOND % (1 << 33)
         header = b"\0\0\1" + bytes([PRIVATE_STREAM]) + (len(part) + 8).to_bytes(2, "big") + b"\x84\x80\x05" + _stamp(ticks)
@@ -131,8 +148,10 @@ def mux(samples: bytes) -> bytes:
             if field_len > 1:
                 last[5] = 0
             last[PACKET - tail :] = unit[room + full * BODY :]
+        points.append((ticks, written, at))
+        written += n
         out.append(packets)
-    return np.concatenate(out).tobytes() if out else b""
+    return np.concatenate(out).tobytes() if out else b"", points
 
 
 @dataclass
@@ -158,37 +177,59 @@ def _read_section(packet: np.ndarray, table_id: int) -> bytes:
     return section
 
 
-def demux(media: bytes) -> Stream:
-    """Read a transport stream back."""
+def _packets(media: bytes) -> np.ndarray:
     if len(media) % PACKET:
         raise ValueError("not a whole number of packets")
     grid = np.frombuffer(media, np.uint8).reshape(-1, PACKET)
-    out = Stream(packets=len(grid))
-    if not len(grid):
-        return out
     if (grid[:, 0] != SYNC).any():
         raise ValueError("a packet has lost its sync byte")
-    pid = (grid[:, 1].astype(np.int32) & 0x1F) << 8 | grid[:, 2]
-    start = grid[:, 1] & 0x40 > 0
+    return grid
+
+
+def _pids(grid: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of each packet its stream, and whether a unit starts in it."""
+    return (grid[:, 1].astype(np.int32) & 0x1F) << 8 | grid[:, 2], grid[:, 1] & 0x40 > 0
+
+
+def _programs(grid: np.ndarray) -> tuple[dict[int, int], int, int]:
+    """Programs with the streams of their maps, the first map's own stream, and the first elementary stream."""
+    pid, start = _pids(grid)
     pat = np.flatnonzero((pid == PAT_PID) & start)
     if not len(pat):
         raise ValueError("no program association table")
     body = _read_section(grid[pat[0]], 0x00)[8:-4]
-    out.programs = {int.from_bytes(body[i : i + 2], "big"): int.from_bytes(body[i + 2 : i + 4], "big") & 0x1FFF for i in range(0, len(body), 4)}
-    map_pid = next(iter(out.programs.values()))
+    programs = {int.from_bytes(body[i : i + 2], "big"): int.from_bytes(body[i + 2 : i + 4], "big") & 0x1FFF for i in range(0, len(body), 4)}
+    map_pid = next(iter(programs.values()))
     pmt = np.flatnonzero((pid == map_pid) & start)
     if not len(pmt):
         raise ValueError("no program map table")
     section = _read_section(grid[pmt[0]], 0x02)
     at = 12 + (int.from_bytes(section[10:12], "big") & 0x0FFF)
-    stream = int.from_bytes(section[at + 1 : at + 3], "big") & 0x1FFF
+    return programs, map_pid, int.from_bytes(section[at + 1 : at + 3], "big") & 0x1FFF
+
 
+def demux(media: bytes) -> Stream:
+    """Read a transport stream back."""
+    grid = _packets(media)
+    out = Stream(packets=len(grid))
+    if not len(grid):
+        return out
+    out.programs, map_pid, stream = _programs(grid)
+    pid, _ = _pids(grid)
     control = grid[:, 3]
     for one in {PAT_PID, map_pid, stream}:
         count = control[(pid == one) & (control & 0x10 > 0)].astype(np.int32) & 15
         step = np.diff(count) & 15
         out.continuity_errors += int(((step != 1) & (step != 0)).sum())
 
+    _read_units(grid, stream, out)
+    return out
+
+
+def _read_units(grid: np.ndarray, stream: int, out: Stream) -> None:
+    """Reassemble the elementary packets of a stream: samples, points and number of units."""
+    pid, start = _pids(grid)
+    control = grid[:, 3]
     own = np.flatnonzero((pid == stream) & (control & 0x10 > 0))
     packets, control = grid[own], control[own]
     repeated = np.concatenate(([False], (np.diff(control.astype(np.int32) & 15) == 0) & (packets[1:] == packets[:-1]).all(1)))
@@ -215,7 +256,19 @@ def demux(media: bytes) -> Stream:
         done += len(part)
         out.units += 1
     out.samples = b"".join(parts)
-    return out
+
+
+def samples_from(media: bytes, points: list[tuple[int, int, int]], first: int, count: int) -> bytes:
+    """``count`` samples from the ``first`` on: read from the random-access point before them, not from the start."""
+    begins = [sample for _, _, sample in points]
+    k, after = max(0, bisect_right(begins, first) - 1), bisect_left(begins, first + count)
+    if not points or count <= 0:
+        return b""
+    head = _packets(media[: points[0][1] * PACKET])
+    end = points[after][1] if after < len(points) else len(media) // PACKET
+    some = Stream()
+    _read_units(_packets(media[points[k][1] * PACKET : end * PACKET]), _programs(head)[2], some)
+    return some.samples[first - begins[k] : first - begins[k] + count]
 
 
 def feature_of(stream: Stream) -> str:
@@ -227,32 +280,43 @@ def feature_of(stream: Stream) -> str:
     return f"packets={stream.packets} units={stream.units} access={len(stream.points)} last_pts={last} lost={stream.continuity_errors} sum={total} squares={squares} crossings={crossings} peak={int(x.max()) if len(x) else 0}"
 
 
+MEDIA = "doc_id long, n_bytes long, media binary, points array<struct<ticks: long, packet: long, sample: long>>"
+_POINTS = pa.list_(pa.struct([("ticks", pa.int64()), ("packet", pa.int64()), ("sample", pa.int64())]))
+
+
 def _mux_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         # no row of Spark's output batch may wait for the others: a few rows at a time
         raw = [x.encode("utf-8", "surrogatepass") for x in text_of(batch.column(1))]
         for at in range(0, len(raw), 200):
             some = raw[at : at + 200]
-            media = pa.array([mux(pad(x)) for x in some], pa.binary())
-            yield pa.RecordBatch.from_arrays([batch.column(0)[at : at + 200], pa.array([len(x) for x in some], pa.int64()), media], ["doc_id", "n_bytes", "media"])
+            made = [mux_with_points(pad(x)) for x in some]
+            points = pa.array([[dict(zip(("ticks", "packet", "sample"), p, strict=True)) for p in points] for _, points in made], _POINTS)
+            yield pa.RecordBatch.from_arrays([batch.column(0)[at : at + 200], pa.array([len(x) for x in some], pa.int64()), pa.array([m for m, _ in made], pa.binary()), points], ["doc_id", "n_bytes", "media", "points"])
 
 
 def store(documents: DataFrame) -> DataFrame:
-    """(doc_id, text) -> (doc_id, n_bytes, media): the UTF-8 bytes, padded, as a media column."""
+    """(doc_id, text) -> (doc_id, n_bytes, media, points): the UTF-8 bytes, padded, as a media column with its random-access points."""
     bounded_batches(documents.sparkSession)
     rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return rows.mapInArrow(_mux_batches, "doc_id long, n_bytes long, media binary")
+    return rows.mapInArrow(_mux_batches, MEDIA)
 
 
 DIGEST = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
 
 
+def _points_of(column: pa.Array) -> list[list[tuple[int, int, int]]]:
+    return [[(p["ticks"], p["packet"], p["sample"]) for p in points] for points in column.to_pylist()]
+
+
 def _digest_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         rows = []
-        for media in batch.column(2):
+        for media, points in zip(batch.column(2), _points_of(batch.column(3)), strict=True):
             media = media.as_buffer()
             found = demux(media)
+            if found.points != points:
+                raise ValueError("the stored access points aren't those of the stream")
             rows.append((len(found.samples), hashlib.sha256(found.samples).hexdigest(), zlib.crc32(found.samples[-BLOCK:]), media.size, hashlib.sha256(media).hexdigest(), feature_of(found)))
         if rows:
             kinds = (pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string())
@@ -262,7 +326,19 @@ def _digest_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
 def digest(media: DataFrame) -> DataFrame:
     """Read every stream of a media column back and describe it."""
     bounded_batches(media.sparkSession, 500)
-    return media.select("doc_id", "n_bytes", "media").mapInArrow(_digest_batches, DIGEST)
+    return media.select("doc_id", "n_bytes", "media", "points").mapInArrow(_digest_batches, DIGEST)
+
+
+def read_samples(media: DataFrame, first: int, count: int) -> DataFrame:
+    """(doc_id, samples): some samples of every stream, found through its random-access points."""
+    bounded_batches(media.sparkSession, 500)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            some = [samples_from(m.as_buffer(), p, first, count) for m, p in zip(batch.column(1), _points_of(batch.column(2)), strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(some, pa.binary())], ["doc_id", "samples"])
+
+    return media.select("doc_id", "media", "points").mapInArrow(run, "doc_id long, samples binary")
 
 
 def round_trip(documents: DataFrame) -> DataFrame:
