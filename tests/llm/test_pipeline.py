@@ -25,7 +25,15 @@ def test_stages(spark):
 
 
 def test_run_equals_its_stages(spark):
-    assert P.run(spark, SF).count() > 0 and P.ORACLE_SQL is None
+    from tidemark.llm import _shared
+
+    docs, before = spark.read.parquet(f"{SF}/documents.parquet"), set(_shared._STAGED)
+    out = sorted(P.run(spark, SF).collect())
+    left = _shared._STAGED - before
+    assert len(left) == 2 and sum("benchmark-decontamination" in p for p in left) == 1 and sum("pieces" in p for p in left) == 1  # what the result reads
+    for _, step in P.STAGES:
+        docs = _shared.stage(step(spark, docs, SF), "test-stage")
+    assert out == sorted(docs.collect()) and out and P.ORACLE_SQL is None
 
 
 def test_empty_documents(spark):

@@ -7,7 +7,8 @@ import shutil
 import tempfile
 import uuid
 import zipfile
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager, suppress
 from pathlib import Path
 
 import numpy as np
@@ -61,11 +62,20 @@ def shared_dir(spark: SparkSession) -> str:
         return where
     if not (context.master == "local" or context.master.startswith("local[")):
         raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-    return _LOCAL_STAGE.setdefault(context.applicationId, tempfile.mkdtemp(prefix="tidemark-"))
+    if context.applicationId not in _LOCAL_STAGE:
+        _LOCAL_STAGE[context.applicationId] = tempfile.mkdtemp(prefix="tidemark-")
+        atexit.register(shutil.rmtree, _LOCAL_STAGE[context.applicationId], ignore_errors=True)
+    return _LOCAL_STAGE[context.applicationId]
+
+
+#: Paths of staged tables that haven't been deleted.
+_STAGED: set[str] = set()
 
 
 def staged_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark).rstrip('/')}/tidemark-{name}-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark).rstrip('/')}/tidemark-{name}-{uuid.uuid4().hex}"
+    _STAGED.add(path)
+    return path
 
 
 def stage(df: DataFrame, name: str, options: dict[str, str] | None = None) -> DataFrame:
@@ -85,13 +95,40 @@ def stage(df: DataFrame, name: str, options: dict[str, str] | None = None) -> Da
     return out
 
 
+def _delete(spark: SparkSession, path: str) -> None:
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+    _STAGED.discard(path)
+
+
 def unstage(df: DataFrame) -> None:
     """Delete a staged table once nothing will read it again."""
     path = getattr(df, "_tidemark_path", None)
     if path:
-        jvm, jsc = df.sparkSession._jvm, df.sparkSession._jsc
-        target = jvm.org.apache.hadoop.fs.Path(path)
-        target.getFileSystem(jsc.hadoopConfiguration()).delete(target, True)
+        _delete(df.sparkSession, path)
+
+
+def unstage_all(spark: SparkSession) -> None:
+    """Delete all staged tables: results that haven't been written elsewhere are lost. Runs when the driver ends."""
+    for path in list(_STAGED):
+        _delete(spark, path)
+
+
+@atexit.register
+def _at_exit() -> None:
+    spark = SparkSession.getActiveSession() if _STAGED else None
+    if spark is not None:
+        with suppress(Exception):  # the session may be gone already
+            unstage_all(spark)
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[Callable[[DataFrame], None]]:
+    """What is staged inside is deleted at the end, but for tables named through the function it gives."""
+    before, kept = set(_STAGED), set()
+    yield lambda df: kept.add(df._tidemark_path)
+    for path in _STAGED - before - kept:
+        _delete(spark, path)
 
 
 #: Bytes of input that a task of a shuffle with a stated number of partitions gets, about.

@@ -10,9 +10,11 @@ first, to the fullest bin that still takes them. Bins of one make-up are planned
 together as (make-up, number), and each piece then finds its place from its rank
 among the pieces of its length.
 
-Defined results: a null text is the empty text (a piece of the end id alone);
-repeated rows are packed each for itself, and ``doc_id`` may be null; other
-columns are ignored; an empty table gives no rows.
+Defined results: a null text is the empty text (a piece of the end id alone); a
+text of any length is cut whole; pieces of equal length are alike, and go to their
+places in the order of partitions and rows; repeated rows are packed each for
+itself, and ``doc_id`` may be null; other columns are ignored; an empty table
+gives no rows.
 """
 
 from __future__ import annotations
