@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.llm import decontaminate, line_dedup, packing, quality, signature_join
-from tidemark.llm._shared import fresh, stage, table
+from tidemark.llm._shared import fresh, scratch, stage, table, unstage
 from tidemark.llm.queries import tokenizer_path
 
 
@@ -63,5 +63,9 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over ``documents``."""
     docs = table(spark, sf_dir, "documents")
     for name, step in STAGES[:-1]:
-        docs = stage(step(spark, docs, sf_dir), name.replace(" ", "-"))
+        before = docs
+        with scratch(spark) as keep:
+            docs = stage(step(spark, before, sf_dir), name.replace(" ", "-"))
+            keep(docs)
+        unstage(before)
     return STAGES[-1][1](spark, docs, sf_dir)
