@@ -149,3 +149,12 @@ def test_null_ids_and_very_long_texts(spark, docs):
     rows = [(None, "a b c d e f"), (3, "a b c d e f"), (None, "alone in the world it is"), (7, long), (8, long + " end"), (9, "a " * 40)]
     found = sorted(((r.doc_id, r.n_shingles, r.component_id) for r in J.similarity_components(docs(rows)).collect()), key=str)
     assert found == sorted([(None, 2, 3), (3, 2, 3), (None, 2, None), (7, 299_996, 7), (8, 299_997, 7), (9, 1, 9)], key=str)
+
+
+def test_sql_gives_the_same_rows(spark):
+    from oracle import connect, differences
+
+    from tidemark.llm.queries import op1_signature_join, oracle_sql
+
+    sf = "/root/testdata/sf0.01"
+    assert differences(op1_signature_join(spark, sf), oracle_sql()["op1_signature_join"], connect(sf)) == []

@@ -89,6 +89,6 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    from tidemark.llm import line_dedup
+    from tidemark.llm import line_dedup, signature_join
 
-    return {"op6_line_dedup": line_dedup.SQL}
+    return {"op1_signature_join": signature_join.SQL, "op6_line_dedup": line_dedup.SQL}

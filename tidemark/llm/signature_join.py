@@ -536,3 +536,24 @@ def keep_one_of_each(documents: DataFrame) -> DataFrame:
     order = Window.partitionBy("_doc", "_text").orderBy(F.xxhash64("_row"))
     wordless = ~F.coalesce(F.col("_row.text").cast("string").rlike(r"[^ \t-\r]"), F.lit(False))
     return kept.withColumn("_rank", F.row_number().over(order)).filter((F.col("_rank") == 1) | wordless).select("_row.*")
+
+
+#: The same rows in DuckDB, over a table ``documents``: all pairs of sets that share a shingle. For small tables.
+SQL = r"""
+WITH RECURSIVE word AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS words FROM documents
+), place AS (SELECT doc_id, words, unnest(range(1, greatest(len(words) - 4, 1) + 1)) AS i FROM word WHERE len(words) > 0
+), gram AS (SELECT DISTINCT doc_id, array_to_string(list_slice(words, i, i + 4), ' ') AS gram FROM place
+), doc AS (SELECT doc_id, count(*) AS n, md5(string_agg(gram, chr(10) ORDER BY gram)) AS node FROM gram GROUP BY doc_id
+), node AS (SELECT node, any_value(n) AS n, min(doc_id) AS first FROM doc GROUP BY node
+), own AS (SELECT node, n, gram FROM node JOIN gram ON gram.doc_id = node.first
+), pair AS (
+  SELECT a.node AS a, b.node AS b FROM own a JOIN own b ON a.gram = b.gram AND a.node < b.node AND 5 * least(a.n, b.n) >= 4 * greatest(a.n, b.n)
+  GROUP BY a.node, b.node, a.n, b.n HAVING 100 * count(*) >= 80 * (a.n + b.n - count(*))
+), link AS (SELECT a, b FROM pair UNION ALL SELECT b, a FROM pair
+), reach AS (SELECT node AS a, node AS b FROM node UNION SELECT reach.a, link.b FROM reach JOIN link ON reach.b = link.a
+), least_of AS (SELECT reach.a AS node, min(node.first) AS component_id FROM reach JOIN node ON reach.b = node.node GROUP BY reach.a
+)
+SELECT d.doc_id, coalesce(doc.n, 0) AS n_shingles, coalesce(l.component_id, d.doc_id) AS component_id
+FROM documents d LEFT JOIN doc ON d.doc_id = doc.doc_id LEFT JOIN least_of l ON doc.node = l.node
+"""
