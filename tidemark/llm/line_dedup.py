@@ -104,9 +104,8 @@ def windows(lines: DataFrame) -> DataFrame:
 
 
 def frequent_runs(found: DataFrame) -> DataFrame:
-    """The fingerprints that are met most in a sample of the documents: FREQUENT rows at most."""
-    sample = found.filter(F.pmod(F.xxhash64("doc_id"), F.lit(SAMPLE)) == 0)
-    often = sample.groupBy("run").agg(F.count("*").alias("n")).filter(F.col("n") >= OFTEN)
+    """The fingerprints that are met most, FREQUENT rows at most; ``found`` is that of a sample of the documents."""
+    often = found.groupBy("run").agg(F.count("*").alias("n")).filter(F.col("n") >= OFTEN)
     return often.orderBy(F.desc("n"), "run").limit(FREQUENT).select("run", F.lit(True).alias("frequent"))
 
 
