@@ -45,6 +45,45 @@ def test_contexts_stay_within_a_text_and_count_each_pair_once(monkeypatch):
         assert (total.reshape(-1, quality.DIM)[:-1] == want).all()
 
 
+def test_pooled_vectors_and_network_are_plain_sums():
+    import numpy as np
+
+    rng = np.random.default_rng(4)
+    context = rng.normal(size=(quality.BUCKETS, quality.DIM)).astype(np.float32)
+    for n in (0, 1, 7, quality.POOLED + 5):
+        ids = rng.integers(0, quality.BUCKETS, n).astype("<u2")
+        want = np.concatenate([x[ids].sum(0) if n else np.zeros(quality.DIM) for x in (context.astype(float), quality.index_matrix().astype(float))]) / max(1, n)
+        assert np.allclose(quality.pooled(ids.tobytes(), context), want, atol=1e-3)
+    x = rng.normal(size=(600, 6))
+    y = (x[:, 0] + 0.5 * x[:, 1] + 0.3 * rng.normal(size=600) > 0).astype(int)
+    network = quality.Network(6)
+    network.train(x, y)
+    w1, b1, w2, b2 = network.weights
+    for row, p in zip(x[:20], network.probability(x[:20]), strict=True):
+        hidden = [np.tanh(sum((row[i] - network.mean[i]) / network.scale[i] * w1[i, k] for i in range(6)) + b1[k]) for k in range(quality.HIDDEN)]
+        odds = sum(h * w for h, w in zip(hidden, w2, strict=True)) + b2[0]
+        assert abs(p - 1 / (1 + np.exp(-odds / network.temperature))) < 1e-9
+    assert ((network.probability(x) >= 0.5) == y).mean() > 0.85
+
+
+def test_the_temperature_calibrates():
+    """Of all temperatures tried, the one taken loses least on the rows kept out of the training."""
+    import numpy as np
+
+    rng = np.random.default_rng(9)
+    x = rng.normal(size=(500, 4))
+    y = (x[:, 0] + 2 * rng.normal(size=500) > 0).astype(int)  # noisy: the network is too sure
+    network = quality.Network(4)
+    network.train(x, y)
+    apart = np.random.default_rng(quality.SEED).permutation(len(x))[len(x) * 4 // 5 :]
+    odds = network.log_odds(x[apart])
+
+    def loss(t):
+        return np.logaddexp(0, -np.where(y[apart] == 1, odds, -odds) / t).mean()
+
+    assert network.temperature > 1 and all(loss(network.temperature) <= loss(t) + 1e-12 for t in np.exp(np.linspace(np.log(0.25), np.log(8), 60)))
+
+
 def test_quality_is_the_same_however_rows_are_dealt(spark):
     docs, labels = spark.read.parquet(f"{SF}/documents.parquet").filter("doc_id < 400"), spark.read.parquet(f"{SF}/labels.parquet")
     a, b = ({r.doc_id: r.score for r in quality.classify(x, labels).collect()} for x in (docs.coalesce(1), docs.repartition(7, "text")))

@@ -62,6 +62,15 @@ def test_components_match_all_pairs(spark, docs, block_sets):
     assert sorted((r.doc_id, r.n_shingles, r.component_id) for r in found) == brute(rows)
 
 
+@pytest.mark.parametrize("block_sets", [4096, 8])
+def test_every_link_is_counted(spark, docs, block_sets):
+    rows = corpus(2)
+    sets = [J.shingle_set(t) for _, t in rows]
+    want = [sum(i != j and len(s) > 0 and len(t) > 0 and J.linked(s, t) for j, t in enumerate(sets)) for i, s in enumerate(sets)]
+    found = J.link_counts(docs(rows), block_sets=block_sets).collect()
+    assert sorted((r.doc_id, r.n_links) for r in found) == sorted((d, n) for (d, _), n, s in zip(rows, want, sets, strict=True) if len(s))
+
+
 def test_empty_table(spark, docs):
     assert J.similarity_components(docs([])).count() == 0
 

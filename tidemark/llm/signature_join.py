@@ -145,8 +145,8 @@ def _folded(bitmaps: np.ndarray, words: int) -> np.ndarray:
     return np.bitwise_or.reduce(bitmaps.reshape(len(bitmaps), -1, words), axis=1)
 
 
-def join_sets(sets: list[np.ndarray], known: list | None = None) -> list[tuple[int, int]]:
-    """Links between sets, as far as they connect what was not connected before.
+def join_sets(sets: list[np.ndarray], known: list | None = None, every: bool = False) -> list[tuple[int, int]]:
+    """Links between sets, as far as they connect what was not connected before, or ``every`` one.
 
     ``known`` gives each set a label; sets with equal labels count as connected.
     """
@@ -195,8 +195,9 @@ def join_sets(sets: list[np.ndarray], known: list | None = None) -> list[tuple[i
         overlap = np.minimum(na - (lone_a - shared), nb - (lone_b - shared))
         for p, q in np.argwhere(apart & ((OF + PART) * overlap >= PART * (na + nb))):
             u, v = int(a[p]), int(b[q])
-            if union.root(u) != union.root(v) and linked(rows[u], rows[v]):
-                union.join(u, v)
+            if (every or union.root(u) != union.root(v)) and linked(rows[u], rows[v]):
+                if not every:
+                    union.join(u, v)
                 found.append((order[u], order[v]))
     return found
 
@@ -402,12 +403,12 @@ def _set_batches(batches: Iterator[pa.RecordBatch], levels) -> Iterator[pa.Recor
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), *(pa.array(c, k) for c, k in zip((sizes, nodes, prefixes, kept), kinds, strict=True))], ["doc_id", "text_hash", "n_shingles", "node", "prefix", "shingles"])
 
 
-def _join_batches(batches: Iterator[pa.RecordBatch], labelled: bool) -> Iterator[pa.RecordBatch]:
+def _join_batches(batches: Iterator[pa.RecordBatch], labelled: bool, every: bool) -> Iterator[pa.RecordBatch]:
     """Rows sorted by block -> links; a block's sets are held one block at a time."""
     block, nodes, sets, known = None, [], [], []
 
     def links() -> Iterator[pa.RecordBatch]:
-        found = join_sets(sets, known if labelled else None)
+        found = join_sets(sets, known if labelled else None, every)
         if found:
             yield pa.RecordBatch.from_arrays([pa.array([nodes[i] for i, _ in found], pa.int64()), pa.array([nodes[j] for _, j in found], pa.int64())], ["a", "b"])
 
@@ -424,14 +425,14 @@ def _join_batches(batches: Iterator[pa.RecordBatch], labelled: bool) -> Iterator
     yield from links()
 
 
-def _join_blocks(rows: DataFrame, partitions: int, labelled: bool = False) -> DataFrame:
+def _join_blocks(rows: DataFrame, partitions: int, labelled: bool = False, every: bool = False) -> DataFrame:
     """(block, node, shingles, label) -> links (a, b) found within blocks."""
     placed = rows.repartition(partitions, "block").sortWithinPartitions("block", "node")
-    return placed.mapInArrow(lambda b: _join_batches(b, labelled), "a long, b long")
+    return placed.mapInArrow(lambda b: _join_batches(b, labelled, every), "a long, b long")
 
 
-def linked_sets(documents: DataFrame, block_sets: int = BLOCK_SETS, block_shingles: int = BLOCK_SHINGLES) -> tuple[DataFrame, DataFrame]:
-    """A row for each document with its set's size and node, and the root of every node that has a link."""
+def families(documents: DataFrame, block_sets: int, block_shingles: int) -> tuple[DataFrame, DataFrame]:
+    """A row for each document with its set, and one for each set that shares a prefix shingle: its family and its chunk there."""
     spark = documents.sparkSession
     bounded_batches(spark)
     rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.xxhash64("text").alias("text_hash"))
@@ -460,6 +461,12 @@ def linked_sets(documents: DataFrame, block_sets: int = BLOCK_SETS, block_shingl
     size = size.select("family", F.when((F.col("members") <= block_sets) & (F.col("total") <= block_shingles), 1).otherwise(chunks).alias("chunks"))
     sized = stage(members.join(size, "family").withColumn("chunk", F.pmod(F.xxhash64("node"), F.col("chunks")).cast("int")), "members")
     unstage(family)
+    return sets, sized
+
+
+def linked_sets(documents: DataFrame, block_sets: int = BLOCK_SETS, block_shingles: int = BLOCK_SHINGLES) -> tuple[DataFrame, DataFrame]:
+    """A row for each document with its set's size and node, and the root of every node that has a link."""
+    sets, sized = families(documents, block_sets, block_shingles)
     meets = F.when(F.col("chunks") == 1, F.array(F.lit(0))).when(F.col("chunk") == 0, F.sequence(F.lit(1), F.col("chunks") - 1)).otherwise(F.array("chunk"))
     first = _with_sets(sets, sized).select(F.explode(meets).alias("part"), "family", "node", "shingles").select(F.xxhash64("family", "part").alias("block"), "node", "shingles", F.lit(0).cast("long").alias("label"))
     links = stage(_join_blocks(first, partitions_for(sets)), "found-links")
@@ -514,6 +521,32 @@ def similarity_components(documents: DataFrame, block_sets: int = BLOCK_SETS, bl
     return out.select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
 
 
+def linked_pairs(documents: DataFrame, block_sets: int = BLOCK_SETS, block_shingles: int = BLOCK_SHINGLES) -> tuple[DataFrame, DataFrame]:
+    """All links between different sets as (a, b) with a < b, and the (doc_id, node) of every document that has a set.
+
+    Copies are one node. The pairs of a group of near copies are as many as they
+    are: what the other results leave out is here the result. Of a family larger
+    than one task all chunks meet.
+    """
+    sets, sized = families(documents, block_sets, block_shingles)
+    other = F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))
+    placed = _with_sets(sets, sized).select("family", "node", "shingles", "chunk", other.alias("other"))
+    block = F.xxhash64("family", F.least("chunk", "other"), F.greatest("chunk", "other"))
+    found = _join_blocks(placed.select(block.alias("block"), "node", "shingles", F.lit(0).cast("long").alias("label")), partitions_for(sets), every=True)
+    pairs = stage(found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "linked-pairs")
+    return pairs, sets.filter("node IS NOT NULL").select("doc_id", "node")
+
+
+def link_counts(documents: DataFrame, block_sets: int = BLOCK_SETS, block_shingles: int = BLOCK_SHINGLES) -> DataFrame:
+    """doc_id and n_links, the number of other documents that each is linked to, of all documents that have a set."""
+    pairs, members = linked_pairs(documents, block_sets, block_shingles)
+    copies = members.groupBy("node").agg(F.count("*").alias("copies"))
+    both = pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    near = both.join(copies.withColumnRenamed("node", "b"), "b").groupBy("a").agg(F.sum("copies").alias("near"))
+    counted = copies.join(near, copies["node"] == near["a"], "left").select("node", (F.col("copies") - 1 + F.coalesce("near", F.lit(0))).alias("n_links"))
+    return members.join(counted, "node").select("doc_id", "n_links")
+
+
 def keep_one_of_each(documents: DataFrame) -> DataFrame:
     """The documents without those that are linked to one that stays: of each component one row, with all its columns.
 
