@@ -143,7 +143,7 @@ def expected_bytes(rows: DataFrame) -> int:
 
 def partitions_for(rows: DataFrame, task_bytes: int = TASK_BYTES) -> int:
     """Partitions for a shuffle of what comes of ``rows``: as configured, or more where Spark expects many bytes."""
-    return max(shuffle_partitions(rows.sparkSession), min(-(-expected_bytes(rows) // task_bytes), 1 << 17))
+    return max(shuffle_partitions(rows.sparkSession), min(-(-expected_bytes(rows) // task_bytes), 1 << 20))
 
 
 def shuffle_partitions(spark: SparkSession) -> int:
