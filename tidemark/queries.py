@@ -12,12 +12,15 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tidemark.functions.scalars import on_days, parsed_time
 from tidemark.functions.schemas import DIM_DRIVER
 from tidemark.operators import compare, latest, merge, profiles
 from tidemark.plans import current_state as rebuild
 from tidemark.plans import dataset_checks, driver_history, event_quality, members, reports, trip_metrics
+from tidemark.sources import files
+from tidemark.sources.versioned import BucketedTable, VersionedTable
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -677,3 +680,71 @@ def table_profile(spark, sf_dir):
     """Rows, columns and nulls of a table as its profile tells them."""
     found = profiles.data_profile(event_log(spark, sf_dir))
     return spark.createDataFrame([(c, found["rows"], found["null_counts"][c]) for c in found["column_names"]], "column_name string, rows long, null_count long")
+
+
+# ---- sources and sinks: what is written is read back
+
+_SUPPLIERS = "s_suppkey, s_name, s_nationkey, s_acctbal"
+
+
+@query(f"SELECT {_SUPPLIERS}, CAST(NULL AS VARCHAR) AS s_comment FROM supplier")
+def csv_read_back(spark, sf_dir):
+    """CSV with a header and a stated schema whose last column the files lack."""
+    rows, path = _read(spark, sf_dir, "supplier").select(*_SUPPLIERS.split(", ")), files.scratch_dir(spark, "csv")
+    rows.write.option("header", True).csv(path)
+    return files.read_csv(spark, path, T.StructType([*rows.schema.fields, T.StructField("s_comment", T.StringType())]))
+
+
+@query(f"SELECT {_SUPPLIERS} FROM supplier")
+def csv_read_by_name(spark, sf_dir):
+    """CSV whose columns come in another order."""
+    rows, path = _read(spark, sf_dir, "supplier").select(*_SUPPLIERS.split(", ")), files.scratch_dir(spark, "csv")
+    rows.select(*reversed(rows.columns)).write.option("header", True).csv(path)
+    return files.read_csv_by_name(spark, path, rows.schema)
+
+
+@query(f"SELECT {_SUPPLIERS}, CAST(NULL AS INT) AS added_later FROM supplier")
+def parquet_read_back(spark, sf_dir):
+    """Partitioned Parquet that lacks a column of the schema."""
+    rows, path = _read(spark, sf_dir, "supplier").select(*_SUPPLIERS.split(", ")), files.scratch_dir(spark, "parquet")
+    if not files.write_parquet(rows, path, partition_by=["s_nationkey"]):
+        raise RuntimeError(f"can't write {path}")
+    return files.read_parquet(spark, path, T.StructType([*rows.schema.fields, T.StructField("added_later", T.IntegerType())]))
+
+
+@query("SELECT 'STANDARD' AS storage_class, count(*) AS n, CAST(sum(1) AS BIGINT) AS with_size FROM (SELECT DISTINCT s_nationkey FROM supplier)")
+def listed_objects(spark, sf_dir):
+    """Objects of a folder with their sizes, the storage class from an inventory."""
+    path = files.scratch_dir(spark, "listing")
+    files.write_parquet(_read(spark, sf_dir, "supplier").select("s_nationkey", "s_suppkey").repartition(1), path, partition_by=["s_nationkey"])
+    listed = files.list_objects(spark, path).filter("key LIKE '%.parquet'")
+    classed = listed.withColumn("storage_class", F.coalesce("storage_class", F.lit("STANDARD")))
+    return classed.groupBy("storage_class").agg(F.count("*").alias("n"), F.count_if(F.col("size_bytes") > 0).alias("with_size"))
+
+
+_SUPPLIER_UPSERT = f"SELECT {_SUPPLIERS} FROM supplier WHERE s_suppkey % 3 <> 0 UNION ALL SELECT s_suppkey, 'renamed' AS s_name, s_nationkey, s_acctbal FROM supplier WHERE s_suppkey % 3 = 0"
+
+
+def _renamed(rows: DataFrame) -> DataFrame:
+    return rows.filter("s_suppkey % 3 = 0").withColumn("s_name", F.lit("renamed"))
+
+
+@query(_SUPPLIER_UPSERT)
+def versioned_upsert(spark, sf_dir):
+    """A table in versions after two commits."""
+    rows = _read(spark, sf_dir, "supplier").select(*_SUPPLIERS.split(", "))
+    table = VersionedTable(spark, files.scratch_dir(spark, "versions"), rows.schema)
+    table.create()
+    table.commit(rows.filter("s_suppkey % 2 = 0"))
+    table.update(lambda now: merge.upsert(now, merge.upsert(rows, _renamed(rows), ["s_suppkey"]), ["s_suppkey"]))
+    return table.read()
+
+
+@query(_SUPPLIER_UPSERT)
+def bucketed_upsert(spark, sf_dir):
+    """The same in buckets by key."""
+    rows = _read(spark, sf_dir, "supplier").select(*_SUPPLIERS.split(", "))
+    table = BucketedTable(spark, files.scratch_dir(spark, "buckets"), rows.schema, ["s_suppkey"], 4)
+    table.upsert(rows)
+    table.upsert(_renamed(rows))
+    return table.read()

@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import atexit
 import logging
 import re
+import shutil
+import tempfile
+import uuid
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
@@ -57,6 +61,19 @@ def write_parquet(df: DataFrame, path: str, compression: str = "snappy", files:
     return True
 
 
+def scratch_dir(spark: SparkSession, name: str) -> str:
+    """A new path in the folder that driver and executors share (spark.checkpoint.dir); where there is one process only, in a temporary folder."""
+    context = spark.sparkContext
+    shared = context.getConf().get("spark.checkpoint.dir")
+    if not shared:
+        if not (context.master == "local" or context.master.startswith("local[")):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+        shared = tempfile.mkdtemp(prefix="tidemark-")
+        atexit.register(shutil.rmtree, shared, ignore_errors=True)
+        shared = f"file://{shared}"
+    return f"{shared.rstrip('/')}/tidemark-{name}-{uuid.uuid4().hex}"
+
+
 def with_schema(df: DataFrame, schema: T.StructType) -> DataFrame:
     """``df`` with exactly the columns of ``schema``: cast, and typed nulls where absent."""
     have = set(df.columns)
@@ -90,7 +107,7 @@ def list_objects(spark: SparkSession, path: str) -> DataFrame:
 
 
 def list_files(spark: SparkSession, bucket: str, prefix: str = "") -> list[str]:
-    """Keys under ``bucket`` (any URI Hadoop can open) that begin with ``prefix``, in order; an empty list if it can't be listed (S3)."""
+    """Keys under ``bucket`` (any URI Hadoop can open) that begin with ``prefix``, in order; an empty list if it can't be listed."""
     root = bucket.rstrip("/") + "/"
     folder = prefix.rpartition("/")[0]
     keys = (r["key"] for r in list_objects(spark, root + folder).select("key").toLocalIterator())
