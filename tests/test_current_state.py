@@ -113,6 +113,8 @@ def test_metrics_keep_nulls_at_the_last_completion(spark):
 def test_empty_log(spark):
     empty = log(spark).limit(0)
     assert C.build_current(empty, DAY).count() == 0 and M.trip_metrics(empty, DAY).count() == 0
+
+
 def test_regressions_of_replays_go_by_ingestion(spark):
     rows = log(spark, (1, 1, "completed", "09 10:00"), (2, 1, "picked_up", "09 10:10")).withColumn("ingested_at", F.lit(at("09 11:00")))
     replay = rows.filter("event_id = 2").withColumn("ingested_at", F.lit(at("09 12:00")))
