@@ -124,7 +124,8 @@ def test_cache_is_bounded_by_bytes(monkeypatch):
     for _ in range(300):
         ours.ids(" ".join("".join(rng.choice("abcdefgh") for _ in range(rng.choice([3, 9, 20, 5000]))) for _ in range(5)))
         for parts in (ours.first, ours.later):
-            assert sum(len(k) + len(v) for k, v in parts.items()) <= 50_000 and all(len(k) <= _tokens.CACHE_CHARS for k in parts)
+            held = [*parts.items(), *parts.older.items()]
+            assert sum(_tokens.CACHE_ENTRY + len(k) + len(v) for k, v in held) <= 50_000 and all(len(k) <= _tokens.CACHE_CHARS for k, _ in held)
 
 
 def test_store_layout(spark, docs, tmp_path, monkeypatch):

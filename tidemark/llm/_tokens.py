@@ -17,7 +17,7 @@ from tokenizers import Tokenizer, pre_tokenizers
 END_ID = 2
 
 #: Bytes of parts and ids kept per worker and kind of place, each part with what a dictionary adds, and the longest part kept.
-CACHE_BYTES, CACHE_ENTRY, CACHE_CHARS = 96 << 20, 200, 32
+CACHE_BYTES, CACHE_ENTRY, CACHE_CHARS = 224 << 20, 200, 32
 #: Characters the library gets at a time.
 PART_CHARS = 32_768
 
@@ -33,22 +33,30 @@ class _Irregular(Exception):
 
 
 class _Parts(dict):
-    """Part of a text -> its ids as unsigned 32-bit integers of this machine."""
+    """Part of a text -> its ids as unsigned 32-bit integers of this machine.
+
+    When half the bytes are in use they become the older half, and the older half
+    before them goes; parts that are met again move over, so common ones stay.
+    """
 
     def __init__(self, owner: "CachedTokenizer", lead: str):
         self.owner, self.lead, self.prefix = owner, lead, owner.space if lead else ""
-        self.bytes = 0
+        self.bytes, self.older = 0, {}
 
     def _kept(self, part: str, ids: bytes) -> bytes:
         if len(part) <= CACHE_CHARS:
-            if self.bytes > CACHE_BYTES:
+            self.bytes += CACHE_ENTRY + len(part) + len(ids)
+            if 2 * self.bytes > CACHE_BYTES:
+                self.older = dict(self)
                 self.clear()
-                self.bytes = 0
-            self.bytes += CACHE_ENTRY + 4 * len(part) + len(ids)
+                self.bytes = CACHE_ENTRY + len(part) + len(ids)
             self[part] = ids
         return ids
 
     def __missing__(self, part: str) -> bytes:
+        ids = self.older.pop(part, None)
+        if ids is not None:
+            return self._kept(part, ids)
         if part.isalpha():
             return self._kept(part, self.owner.word_ids(self.prefix, part))
         if not part or part[-1].isspace():
